@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import minhash_dedup, suffix_dedup
+from docmill.llm import minhash_dedup, quality, suffix_dedup, toxicity
+from docmill.llm.labelled import remainder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +22,22 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir), learn=remainder("doc_id", 5) != 0)
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(documents(spark, sf_dir), labels(spark, sf_dir), learn=remainder("doc_id", 3) != 1)
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op8_minhash_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op4_quality, op8_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
