@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,11 @@ def remainder(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def crc_remainder(doc_id: int, folds: int) -> int:
+    """``remainder`` of one id; the smallest integer stands for null."""
+    return zlib.crc32(b"" if doc_id == -(2**63) else str(doc_id).encode()) % folds
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, y, weight, text) of at most ``bound`` labelled ids of either class, those of least hash, where ``learn`` holds.
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import minhash_dedup, quality, suffix_dedup, toxicity
-from docmill.llm.labelled import remainder
+from docmill.llm import lm_scoring, minhash_dedup, quality, suffix_dedup, toxicity
+from docmill.llm.labelled import crc_remainder, remainder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +32,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scoring.lm_scores(documents(spark, sf_dir), learns=lambda doc_id: crc_remainder(doc_id, 10) != 0)
+    return out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op4_quality, op8_minhash_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op4_quality, op7_lm_scoring, op8_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
