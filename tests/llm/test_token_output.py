@@ -1,0 +1,60 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from docmill.llm import simple8b
+from docmill.llm.token_output import read_tokens, token_table, write_tokens
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.just(0), st.integers(0, 3), st.integers(0, 2**17), st.integers(2**59, 2**64 - 1), st.just(2**60 - 1), st.just(2**64 - 1))), st.integers(0, 3000), st.integers(0, 2**40))
+def test_round_trip(values, zeros, more):
+    x = np.array(values + [0] * zeros + [more] + values, np.uint64)
+    words, offsets = simple8b.encode(x)
+    assert (simple8b.decode(words, offsets, len(x)) == x).all() and len(offsets) == -(-len(x) // simple8b.BLOCK) + 1
+
+
+def test_small_numbers_take_little_space():
+    x = np.random.default_rng(1).integers(0, 16, 100_000).astype(np.uint64)
+    assert len(simple8b.encode(x)[0]) <= 100_000 / 15 + 2 * 100
+    assert len(simple8b.encode(np.zeros(1024, np.uint64))[0]) == 5
+
+
+def corpus():
+    r = random.Random(3)
+    words = ["Hello", "the", "naïve", "Straße.", "İstanbul", "áb", "ΟΔΟΣ", "don't", "123abc", "漢字", "<|endoftext|>", "x<|startoftext|>y", " ", " z", "|", "&&&", "\x0b", "😀"]
+    rows = [(i * 7919 % 1009, " ".join(r.choice(words) + r.choice(["", "", ",", "\n", "\t"]) for _ in range(r.randint(0, 60)))) for i in range(200)]
+    return rows + [(2000, None), (2001, ""), (2002, " \n"), (2003, "x" * 3000), (2004, "the " * 60000), (-5, "first"), (2005, "́ ́"), (2006, "́́")]
+
+
+def expected(rows):
+    from tokenizers import Tokenizer
+
+    t, start, out = Tokenizer.from_file(VOCABULARY), 0, []
+    for doc_id, text in sorted(rows):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_against_the_library(spark, tmp_path):
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, words string, shard int").repartition(6)
+    assert sorted(map(tuple, token_table(df, VOCABULARY).collect())) == expected([(i, t or "") for i, t in rows])
+    write_tokens(df, f"file://{tmp_path}/t", VOCABULARY)
+    for r in read_tokens(spark, f"file://{tmp_path}/t", with_ids=True).collect():
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and r["ids"][-1] == 1
+
+
+def test_empty_table_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (None, "c")], "doc_id long, text string")
+    assert sorted((r["start"], r["n_tokens"]) for r in token_table(df, VOCABULARY).collect()) == [(0, 2), (2, 2), (4, 2), (6, 2)]
+    assert token_table(df.where("false"), VOCABULARY).collect() == []
