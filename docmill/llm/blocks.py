@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.storage import partitions, shared_root
@@ -35,18 +35,19 @@ def _pack(batch: pa.RecordBatch) -> bytes:
 
 
 def unpack(payload: bytes) -> pa.RecordBatch:
-    """The rows of a block: ``doc_id`` (the smallest integer for null) and ``text``, ordered by both."""
+    """The rows of a block: ``doc_id`` (the smallest integer for null) ``text`` and what goes along, ordered by the first two."""
     return pa.ipc.open_stream(payload).read_next_batch()
 
 
 class Blocks:
     """The bucketed table of a corpus' blocks."""
 
-    def __init__(self, docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None):
+        """``carry``: a column that goes along with each row, as ``row``."""
         spark = self.spark = docs.sparkSession
         self.root, self.table = shared_root(spark, name), f"docmill_{name}_{uuid.uuid4().hex}"
         self.buckets = partitions(spark)
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if carry is None else [carry.alias("row")]))
         (
             rows.mapInArrow(_to_blocks, BLOCK_SCHEMA)
             .write.format("parquet")
@@ -101,17 +102,16 @@ def _to_blocks(batches):
     seq, base = 0, TaskContext.get().partitionId() << 32
     kept: list[pa.RecordBatch] = []
     size = 0
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 
     def block():
-        table = pa.Table.from_batches(kept, schema).combine_chunks()
+        table = pa.Table.from_batches(kept).combine_chunks()
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([_pack(table.to_batches()[0])], pa.binary())], names=["block", "payload"])
 
     for batch in batches:
         ids = batch.column("doc_id").fill_null(-(2**63))
         text = batch.column("text").fill_null("").cast(pa.large_string())
-        batch = pa.RecordBatch.from_arrays([ids, text], schema=schema)
+        batch = pa.RecordBatch.from_arrays([ids, text, *batch.columns[2:]], names=batch.schema.names)
         _, offsets = utf8(text)
         for a, b in row_chunks(offsets, BLOCK_BYTES // 2):
             n = int(offsets[b] - offsets[a])

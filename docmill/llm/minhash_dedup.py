@@ -14,7 +14,8 @@ threshold is missed with a probability under a millionth.
 4. The components of the forests are the answer.
 
 Defined cases: null, empty and wordless texts have an empty set (n_shingles 0) and are linked with nothing; one to four words
-are one shingle; rows with equal ids (null among them) are one document; other columns are not looked at.
+are one shingle; rows with equal ids are one document; rows without an id are linked with nothing, have no component and are
+kept; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -93,7 +94,8 @@ def _sketch(plan: tuple[int, int]):
             if some:
                 for i, row in zip(some, minmax.keys([sets[i] for i in some])):
                     keys[i] = row
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            known = (batch.column("doc_id").to_numpy() != NULL_ID).tolist()
+            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) and k else None for s, k in zip(sets, known)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands"]
             )

@@ -31,14 +31,13 @@ from docmill.llm.textkernel import text_chunks
 from docmill.llm.wordcache import WordCache
 
 SPACE = "▁"
-_codecs: dict[str, Codec] = {}
+_codecs: dict[int, Codec] = {}
 
 
 class Codec:
-    def __init__(self, model_file: str):
+    def __init__(self, raw: bytes):
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-        raw = open(model_file, "rb").read()
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(raw)
         self.merging = model.trainer_spec.model_type == 2
@@ -164,18 +163,26 @@ class Codec:
         return np.delete(data, rows[:-1][some]), rows - np.concatenate([[0], np.cumsum(some)])
 
 
-def codec(model_file: str) -> Codec:
-    """This worker's codec of a model file."""
-    if model_file not in _codecs:
-        _codecs[model_file] = Codec(model_file)
-    return _codecs[model_file]
+def codec(raw: bytes) -> Codec:
+    """This worker's codec of a model (a file's content)."""
+    key = hash(raw)
+    if key not in _codecs:
+        _codecs[key] = Codec(raw)
+    return _codecs[key]
+
+
+def _content(rows: DataFrame, model_file: str):
+    """A model file on the driver, for the tasks."""
+    with open(model_file, "rb") as f:
+        return rows.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, pieces (ids), n_pieces, the SHA-256 of their decoded text, and round_trip (that text is the row's)."""
+    model = _content(docs, model_file)
 
     def run(batches):
-        own = codec(model_file)
+        own = codec(model.value)
         for batch, data, offsets in text_chunks(batches):
             ids, at = own.encode(data, offsets)
             back, rows = own.decode(ids, at)
@@ -194,9 +201,10 @@ def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
 
 def decoded(rows: DataFrame, model_file: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
     """For each row of ids: doc_id and its text."""
+    model = _content(rows, model_file)
 
     def run(batches):
-        own = codec(model_file)
+        own = codec(model.value)
         for batch in batches:
             column = batch.column("pieces")
             sizes = np.array([len(x) if x is not None else 0 for x in column.to_pylist()], np.int64)

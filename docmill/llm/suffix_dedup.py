@@ -24,8 +24,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.llm.blocks import Blocks, answer_of, answered, decode, encode_answer, split, unpack
 from docmill.llm.textkernel import mix, utf8
@@ -68,7 +69,7 @@ class Spans:
     """The windows of a block's texts, in spans, and their digits."""
 
     def __init__(self, payload, length: int = LENGTH):
-        rows = unpack(payload)
+        rows = self.rows = unpack(payload)
         self.ids = rows.column("doc_id").to_numpy()
         self.data, self.offsets = utf8(rows.column("text"))
         self.length = length
@@ -189,8 +190,8 @@ def _merge(kind: int, blocks: np.ndarray, payloads: list) -> list[bytes]:
     return [encode_answer(out[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def _spans(docs: DataFrame, finish, schema: str, id_col: str, text_col: str, length: int) -> DataFrame:
-    blocks = Blocks(docs, "suffixes", id_col, text_col)
+def _spans(docs: DataFrame, finish, schema, id_col: str, text_col: str, length: int, carry: Column | None = None) -> DataFrame:
+    blocks = Blocks(docs, "suffixes", id_col, text_col, carry)
     buckets = blocks.buckets
 
     def digits(block, payload):
@@ -255,7 +256,7 @@ def _texts(x: Spans, removed: np.ndarray) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum(kept)])[x.offsets]
     texts = pa.LargeStringArray.from_buffers(len(x.ids), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(x.data[kept].tobytes()))
     cut = np.diff(x.offsets) - np.diff(offsets)
-    return pa.RecordBatch.from_arrays([_ids(x), texts.cast(pa.string()), pa.array(cut, pa.int64())], names=["doc_id", "kept_text", "n_removed"])
+    return pa.RecordBatch.from_arrays([_ids(x), texts.cast(pa.string()), pa.array(cut, pa.int64()), x.rows.column("row")], names=["doc_id", "kept_text", "n_removed", "row"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -264,5 +265,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """For each row: doc_id, kept_text (whole characters) and n_removed (bytes)."""
-    return _spans(docs, _texts, "doc_id long, kept_text string, n_removed long", id_col, text_col, length)
+    """For each row: doc_id, kept_text (whole characters), n_removed (bytes), and its other columns in ``row``."""
+    carry = F.struct(F.lit(0).cast("byte").alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    schema = T._parse_datatype_string("doc_id long, kept_text string, n_removed long")
+    return _spans(docs, _texts, T.StructType([*schema.fields, T.StructField("row", docs.select(carry.alias("r")).schema["r"].dataType)]), id_col, text_col, length, carry)

@@ -35,23 +35,24 @@ from docmill.llm.textkernel import text_chunks, word_spans
 from docmill.llm.wordcache import WordCache
 
 SCHEMA = "shard int, seq int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, ranks binary, offsets binary, words binary"
-_caches: dict[str, WordCache] = {}
+_caches: dict[int, WordCache] = {}
 
 
 def cache_of(vocabulary: str) -> WordCache:
-    """This worker's cache for a vocabulary file of the tokenizers library."""
-    if vocabulary not in _caches:
+    """This worker's cache for a vocabulary (a file's content) of the tokenizers library."""
+    key = hash(vocabulary)
+    if key not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        _caches[vocabulary] = WordCache(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
-    return _caches[vocabulary]
+        tokenizer = Tokenizer.from_str(vocabulary)
+        _caches[key] = WordCache(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+    return _caches[key]
 
 
-def _write(vocabulary: str, end: int):
+def _write(vocabulary, end: int):
     def run(batches):
-        cache, shard, done = cache_of(vocabulary), TaskContext.get().partitionId(), 0
+        cache, shard, done = cache_of(vocabulary.value), TaskContext.get().partitionId(), 0
         for seq, (batch, data, offsets) in enumerate(text_chunks(batches)):
             starts, ends, word_offsets = word_spans(data, offsets)
             ids, at = cache.ids(data, starts, ends, word_offsets, end)
@@ -72,10 +73,11 @@ _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the documents' ids to ``path``."""
+    """Writes the documents' ids to ``path``; ``vocabulary`` is a file on the driver, whose content goes to the tasks."""
+    content = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_write(vocabulary, end), SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_write(content, end), SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def ids_of(row: dict) -> np.ndarray:

@@ -55,9 +55,9 @@ def test_against_brute_force(spark, percent, part):
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(30))
-    df = spark.createDataFrame([(5, text), (5, text), (7, text), (None, "other words here for this one text"), (None, None)], "doc_id long, text string")
+    df = spark.createDataFrame([(5, text), (5, text), (7, text), (None, "other words here for this one text"), (None, "other words here for this one text"), (None, None)], "doc_id long, text string")
     got = sorted([tuple(r) for r in near_duplicates(df).collect()], key=str)
-    assert got == sorted([(5, 26, 5, True), (5, 26, 5, True), (7, 26, 5, False), (None, 3, None, True), (None, 0, None, True)], key=str)
+    assert got == sorted([(5, 26, 5, True), (5, 26, 5, True), (7, 26, 5, False), (None, 3, None, True), (None, 3, None, True), (None, 0, None, True)], key=str)
     assert near_duplicates(df.limit(0)).collect() == []
 
 

@@ -21,7 +21,7 @@ def library():
 
 def encode(texts):
     data = [t.encode() for t in texts]
-    ids, at = codec(MODEL).encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
+    ids, at = codec(open(MODEL, "rb").read()).encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64))
     return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
 
 
