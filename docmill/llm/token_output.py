@@ -10,7 +10,7 @@ of whole documents of about two megabytes of text:
     ranks               ids of the group by falling frequency; the coded integers are places in this list
     offsets, words      the Simple-8b blocks and their words
 
-The vocabulary never joins text across white space, so a worker encodes each distinct word once.  Shards are the ranges of one
+The vocabulary never joins text across white space and some other places, so a worker encodes each distinct piece once.  Shards are the ranges of one
 range partitioning; the ids before a shard are the sum of the shards before, of which there are as many as partitions.
 
 Defined cases: null and empty texts have the end id alone; rows with equal ids stand in the order of their texts, a null id before
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import simple8b
 from docmill.llm.storage import partitions, shared_root
-from docmill.llm.textkernel import text_chunks, word_spans
+from docmill.llm.textkernel import span_hashes, text_chunks, word_spans
 from docmill.llm.wordcache import WordCache
 
 SCHEMA = "shard int, seq int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, ranks binary, offsets binary, words binary"
@@ -50,12 +50,36 @@ def cache_of(vocabulary: str) -> WordCache:
     return _caches[key]
 
 
+_LETTER = np.array([chr(i).isascii() and chr(i).isalpha() for i in range(256)])
+_MARK = np.array([32 < i < 127 and not chr(i).isalnum() and i != 39 for i in range(256)])
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the pieces of texts, and the rows' offsets into them.
+
+    The vocabulary's pattern parts words at white space and between a letter and a mark other than the apostrophe, and it takes
+    upper for lower case, so ASCII pieces have their hash from their lower case.  Texts that may hold special tokens' strings,
+    which its patterns don't part, are cut at white space only and hashed as they are.
+    """
+    starts, ends, at = word_spans(data, offsets)
+    if ((data[:-1] == 60) & (data[1:] == 124)).any():
+        return starts, ends, span_hashes(data, starts, ends, lower=False), at
+    cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+    cut = cut[~np.isin(cut, starts, assume_unique=True)]  # the first of a row is parted already
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    high = np.concatenate([[0], np.cumsum(data >= 128)])
+    exact = np.flatnonzero(high[ends] > high[starts])
+    hashes = span_hashes(data, starts, ends)
+    hashes[exact] = span_hashes(data, starts[exact], ends[exact], lower=False)
+    return starts, ends, hashes, np.searchsorted(starts, offsets)
+
+
 def _write(vocabulary, end: int):
     def run(batches):
         cache, shard, done = cache_of(vocabulary.value), TaskContext.get().partitionId(), 0
         for seq, (batch, data, offsets) in enumerate(text_chunks(batches)):
-            starts, ends, word_offsets = word_spans(data, offsets)
-            ids, at = cache.ids(data, starts, ends, word_offsets, end)
+            starts, ends, hashes, piece_offsets = pieces_of(data, offsets)
+            ids, at = cache.ids(data, starts, ends, piece_offsets, end, hashes)
             counts = np.bincount(ids)
             ranks = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
             place = np.zeros(len(counts), np.uint64)

@@ -7,13 +7,14 @@ one.  Texts repeat their pieces, so a worker tokenizes each distinct piece once
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 from docmill.llm.textkernel import span_hashes
 
 #: A worker forgets its pieces when it has so many, which bounds its memory.
-PIECES = 1_500_000
+PIECES = 1_000_000
 
 
 class WordCache:
@@ -28,19 +29,20 @@ class WordCache:
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
-    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, their n + 1 offsets) for rows of pieces; ``last``: an id after each row's own."""
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, last: int | None = None, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, their n + 1 offsets) for rows of pieces; ``last``: an id after each row's own.
+
+        ``hashes``: of the pieces, where some pieces that differ have the same ids and so may share one.
+        """
         if len(self.known) > PIECES:
             self.clear()
-        keys, first, inverse = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        numbers = [self.known.get(k, -1) for k in keys.tolist()]
-        new = [i for i, x in enumerate(numbers) if x < 0]
-        if new:
-            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+        keys, first, inverse = np.unique(span_hashes(data, starts, ends, lower=False) if hashes is None else hashes, return_index=True, return_inverse=True)
+        numbers = np.array([self.known.get(k, -1) for k in keys.tolist()], np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
             raw = data.tobytes()
-            for i, ids in zip(new, self.encode([raw[x:y] for x, y in zip(a, b)])):
-                numbers[i] = self._add(int(keys[i]), ids)
-        number = np.array(numbers, np.int64)[inverse] if len(keys) else np.empty(0, np.int64)
+            numbers[new] = self._add(keys[new], self.encode([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]))
+        number = numbers[inverse]
         sizes = self.sizes[number]
         per_row = np.concatenate([[0], np.cumsum(sizes)])[offsets]
         at = np.arange(int(sizes.sum())) + np.repeat(self.starts[number] - (np.cumsum(sizes) - sizes), sizes)
@@ -50,14 +52,16 @@ class WordCache:
             per_row = per_row + np.arange(len(per_row))
         return ids, per_row
 
-    def _add(self, key: int, ids) -> int:
+    def _add(self, keys: np.ndarray, ids: list) -> np.ndarray:
         number, n = len(self.known), len(ids)
-        if number == len(self.starts):
+        sizes = np.fromiter(map(len, ids), np.int64, n)
+        total = int(sizes.sum())
+        while number + n > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        while self.used + n > len(self.flat):
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + n] = ids
-        self.starts[number], self.sizes[number] = self.used, n
-        self.used += n
-        self.known[key] = number
-        return number
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.starts[number : number + n], self.sizes[number : number + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += total
+        self.known.update(zip(keys.tolist(), range(number, number + n)))
+        return np.arange(number, number + n)
