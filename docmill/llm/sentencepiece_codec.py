@@ -9,8 +9,8 @@ best segmentation of what is before it exactly if merging the two last pieces' t
 One piece at each place passes, so the single pass and its table of best entries stay the same.  The rule's answers for pairs
 of pieces are kept.  Either way the result equals the library's.
 
-Pieces don't reach across certain places (before a run of spaces, after a character that no piece has), so a worker runs the
-automaton once for each distinct stretch between them and copies the ids from there on (``docmill.llm.wordcache``).
+Pieces don't reach across certain places (between characters that are neighbours in no piece), so a worker runs the automaton
+once for each distinct stretch between them and copies the ids from there on (``docmill.llm.wordcache``).
 
 Defined cases: null and empty texts have no pieces; characters without a piece become their UTF-8 bytes' pieces; a literal U+2581
 decodes as a space, as in the library (``round_trip`` is false for its text); rows with equal ids are encoded each by itself;
@@ -31,6 +31,8 @@ from docmill.llm.textkernel import text_chunks
 from docmill.llm.wordcache import WordCache
 
 SPACE = "▁"
+#: A worker forgets its answers for pairs of pieces when it has so many.
+FOLLOWS = 300_000
 _codecs: dict[int, Codec] = {}
 
 
@@ -62,9 +64,12 @@ class Codec:
                 self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
         self.follows: dict[tuple[str, str], bool] = {}
-        letters = set("".join(self.id))
-        #: One-byte characters that no piece has: a stretch may end after them.
-        self.foreign = np.array([i < 128 and i != 32 and chr(i) not in letters for i in range(256)])
+        # neighbours in some piece; between others a stretch may end (looked at for one-byte characters and spaces)
+        pairs = {pair for piece in self.id for pair in zip(piece, piece[1:])}
+        shown = [SPACE if i == 32 else chr(i) for i in range(128)]
+        self.parted = np.zeros((256, 256), bool)
+        self.parted[:128, :128] = [[(a, b) not in pairs for b in shown] for a in shown]
+        self.parted[128:, 32] = not any(b == SPACE and ord(a) > 127 and a != SPACE for a, b in pairs)
         self.unknown_score = min(self.score.values(), default=0.0) - 10
         size = np.array([len(b) for b in self.bytes_of])
         self.byte_size, self.byte_start = size, np.cumsum(size) - size
@@ -88,7 +93,7 @@ class Codec:
     def may_follow(self, left: str, right: str) -> bool:
         known = self.follows.get((left, right))
         if known is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > FOLLOWS:
                 self.follows.clear()
             known = self.follows[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -142,9 +147,8 @@ class Codec:
         n = len(data)
         if not n:
             return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
-        space = data == 32
         edge = np.zeros(n, bool)
-        edge[1:] = (space[1:] & ~space[:-1]) | self.foreign[data[:-1]]
+        edge[1:] = self.parted[data[:-1], data[1:]]
         # the literal space mark (bytes E2 96 81) may join what a space would part: such rows are one stretch
         marked = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
         for row in np.unique(np.searchsorted(offsets, marked, side="right") - 1).tolist():
