@@ -1,6 +1,6 @@
 """Text blocks and the block exchange, for statistics over all windows or words of a corpus.
 
-Documents are packed into compressed *blocks* of about two megabytes, stored in a table that is bucketed by block, so that every
+Documents are packed into compressed *blocks* of about one megabyte, stored in a table that is bucketed by block, so that every
 pass reads a block where it lies.  A pass sends, for each block and hash bucket, one row with the block's distinct keys of that
 bucket (sorted and delta-coded, with their values).  A bucket's task merges those rows and answers each with one value for each
 key; the answers return to their blocks.  A key counts once a block however often the block holds it, so no key is hot, and
@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.storage import partitions, shared_root
+from docmill.llm.storage import partitions, shared_root, tidy
 from docmill.llm.textkernel import row_chunks, utf8
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_SCHEMA = "block long, payload binary"
 BLOB_SCHEMA = "kind int, bucket int, block long, payload binary"
 
@@ -49,7 +49,7 @@ class Blocks:
         self.buckets = partitions(spark)
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if carry is None else [carry.alias("row")]))
         (
-            rows.mapInArrow(_to_blocks, BLOCK_SCHEMA)
+            rows.mapInArrow(tidy(_to_blocks), BLOCK_SCHEMA)
             .write.format("parquet")
             .option("compression", "uncompressed")
             .bucketBy(self.buckets, "block")
@@ -74,7 +74,7 @@ class Blocks:
                             names=["kind", "bucket", "block", "payload"],
                         )
 
-        return self.read().mapInArrow(run, BLOB_SCHEMA)
+        return self.read().mapInArrow(tidy(run), BLOB_SCHEMA)
 
     def with_answers(self, *answers: DataFrame) -> DataFrame:
         """The blocks, each with the list of its answers (at most one for each kind and bucket)."""

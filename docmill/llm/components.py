@@ -42,9 +42,13 @@ def _contract(batches):
         yield pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
 
 
-def connected(edges: DataFrame, root: str) -> DataFrame:
-    """(u, v): for each node that isn't the least of its component, that least node.  ``edges`` has long columns u, v."""
-    current = stored(edges.where("u <> v").mapInPandas(_contract, "u long, v long").distinct(), f"{root}/0")
+def connected(edges: DataFrame, root: str, contract: bool = True) -> DataFrame:
+    """(u, v): for each node that isn't the least of its component, that least node.  ``edges`` has long columns u, v.
+
+    With ``contract`` False the edges are stars already, u > v, and aren't contracted first (in the Python of their own stage).
+    """
+    edges = edges.where("u <> v")
+    current = stored((edges.mapInPandas(_contract, "u long, v long") if contract else edges).distinct(), f"{root}/0")
     for round_ in range(1, 100):
         mins = stored(
             current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")),

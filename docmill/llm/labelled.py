@@ -14,6 +14,16 @@ def remainder(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def others(docs: DataFrame, text_col: str) -> Column:
+    """All columns but the text, as one struct that goes through Python beside it; ``whole`` puts them together again."""
+    return F.struct(F.lit(0).cast("byte").alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+
+
+def whole(out: DataFrame, docs: DataFrame, text: str = "text", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` from ``out``'s columns ``text`` and ``row``."""
+    return out.select(*(F.col(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def crc_remainder(doc_id: int, folds: int) -> int:
     """``remainder`` of one id; the smallest integer stands for null."""
     return zlib.crc32(b"" if doc_id == -(2**63) else str(doc_id).encode()) % folds

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.blocks import Blocks, answer_of, answered, decode, encode, encode_answer, split, unpack
-from docmill.llm.storage import stored
+from docmill.llm.storage import stored, tidy
 from docmill.llm.textkernel import row_of, span_hashes, utf8, word_spans
 
 UNITS = 128
@@ -231,7 +231,7 @@ def lm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "
         keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return pd.DataFrame({"payload": [encode(keys, np.bincount(at, np.concatenate([p[1] for p in parts])).astype("<i8"))]})
 
-    counted = blocks.read().mapInArrow(trigrams, "kind int, bucket int, block long, payload binary").groupBy("bucket").applyInPandas(summed, "payload binary")
+    counted = blocks.read().mapInArrow(tidy(trigrams), "kind int, bucket int, block long, payload binary").groupBy("bucket").applyInPandas(summed, "payload binary")
     found = counted.repartition(1).mapInArrow(_fit, "model binary").collect()
     if found and n_all:
         raw = np.frombuffer(found[0]["model"], "<f4")
@@ -260,4 +260,4 @@ def lm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "
                     names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return blocks.with_answers(answers).mapInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.with_answers(answers).mapInArrow(tidy(score), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

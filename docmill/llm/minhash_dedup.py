@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm.components import connected, forest
-from docmill.llm.storage import partitions, shared_root, stored
+from docmill.llm.storage import partitions, shared_root, stored, tidy
 from docmill.llm.textkernel import shingle_hashes, span_hashes, text_chunks, word_spans
 
 WORDS = 5
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     root = shared_root(spark, "minhash")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     plan = band_plan(percent)
-    sketches = stored(rows.mapInArrow(_sketch(plan), "doc_id long, n_shingles long, print binary, bands array<long>"), f"{root}/sketches")
+    sketches = stored(rows.mapInArrow(tidy(_sketch(plan)), "doc_id long, n_shingles long, print binary, bands array<long>"), f"{root}/sketches")
 
     some = sketches.where("print is not null")
     classes = stored(some.groupBy("print").agg(F.min("doc_id").alias("class")), f"{root}/classes")
@@ -190,10 +190,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     nodes = stored(nodes.join(sizes, "cluster").select("doc_id", "cluster", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")), f"{root}/nodes")
     # the ids go to the documents if they are few by count, else both sides are shuffled
     side = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    sent = rows.join(side, "doc_id").mapInArrow(_members, "cluster long, i int, j int, doc_id long, shingles binary").where(F.length("shingles") > 0)
+    sent = rows.join(side, "doc_id").mapInArrow(tidy(_members), "cluster long, i int, j int, doc_id long, shingles binary").where(F.length("shingles") > 0)
     keys = ["cluster", "i", "j"]
-    links = sent.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_confirm(percent), "u long, v long")
-    components = connected(links, f"{root}/components")
+    links = sent.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(tidy(_confirm(percent)), "u long, v long")
+    components = connected(links, f"{root}/components", contract=False)
 
     out = sketches.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     out = out.join(components.select(F.col("u").alias("class"), F.col("v").alias("least")), "class", "left")

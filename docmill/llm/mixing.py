@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.llm.labelled import others
+from docmill.llm.storage import tidy
 from docmill.llm.textkernel import row_of, span_hashes, text_chunks, word_spans
 
 TOPIC_BITS = 3
@@ -84,11 +86,11 @@ def _targets(name: str, values: list, mass: np.ndarray, given: dict | None) -> t
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The documents' columns in ``row``, and topic, n_tokens, weight, probability and sampled beside it."""
+    """Text, the documents' other columns in ``row``, and topic, n_tokens, weight, probability and sampled beside it."""
     spark = docs.sparkSession
     given = targets or {}
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("string").alias("key"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
+        others(docs, text_col).alias("row"), F.col(id_col).cast("string").alias("key"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
 
     def count(batches):
@@ -96,7 +98,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float
             topic, n = topics(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("lang"), pa.array(topic), pa.array(n, pa.int64())], names=["source", "lang", "topic", "n"])
 
-    cells = rows.select("source", "lang", "text").mapInArrow(count, "source string, lang string, topic int, n long").groupBy("source", "lang", "topic").agg(F.sum("n").alias("n"))
+    cells = rows.select("source", "lang", "text").mapInArrow(tidy(count), "source string, lang string, topic int, n long").groupBy("source", "lang", "topic").agg(F.sum("n").alias("n"))
     found = cells.limit(CELLS + 1).collect()
     if len(found) > CELLS:
         raise ValueError(f"over {CELLS} combinations of source, language and topic: group them before mixing")
@@ -106,15 +108,15 @@ def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float
     factor = rake(mass, [c for c, _ in margins], [t for _, t in margins]) if mass.sum() else np.ones(len(found))
     p = probabilities(mass, factor, budget) if len(found) else np.empty(0)
     table = spark.sparkContext.broadcast({(r["source"], r["lang"], r["topic"]): (float(f), float(x)) for r, f, x in zip(found, factor, p)})
-    new = T.StructType([rows.schema["row"], rows.schema["key"], *T._parse_datatype_string("topic int, n_tokens long, weight double, probability double").fields])
+    new = T.StructType([rows.schema["text"], rows.schema["row"], rows.schema["key"], *T._parse_datatype_string("topic int, n_tokens long, weight double, probability double").fields])
 
     def weigh(batches):
         for batch, data, offsets in text_chunks(batches):
             topic, n = topics(data, offsets)
             own = [table.value[c] for c in zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), topic.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("key"), pa.array(topic), pa.array(n, pa.int64()), pa.array([w for w, _ in own], pa.float64()), pa.array([x for _, x in own], pa.float64())], names=["row", "key", "topic", "n_tokens", "weight", "probability"]
+                [batch.column("text"), batch.column("row"), batch.column("key"), pa.array(topic), pa.array(n, pa.int64()), pa.array([w for w, _ in own], pa.float64()), pa.array([x for _, x in own], pa.float64())], names=["text", "row", "key", "topic", "n_tokens", "weight", "probability"]
             )
 
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "key"), 11) / F.lit(float(2**53))
-    return rows.mapInArrow(weigh, new).select("row", "topic", "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled"))
+    return rows.mapInArrow(tidy(weigh), new).select("text", "row", "topic", "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled"))

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.labelled import sample, trained
+from docmill.llm.labelled import others, sample, trained
+from docmill.llm.storage import tidy
 from docmill.llm.textkernel import text_chunks
 
 PIECE = 512
@@ -103,7 +104,7 @@ def _train(batches):
 
 
 def quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", bound: int = BOUND, with_row: bool = False) -> DataFrame:
-    """For each row: doc_id, score (probability of label 1), predicted (1 from 0.5 on) and, if asked for, its columns in ``row``."""
+    """For each row: doc_id, score (probability of label 1), predicted (1 from 0.5 on) and, if asked for, text and the other columns in ``row``."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(trained(sample(docs, labels, label, bound, learn, id_col, text_col), _train))
 
@@ -118,8 +119,8 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "do
                 x = np.array([sizes.features(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])])
                 p = 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ beta, -35, 35)))
                 p[np.diff(offsets) == 0] = rate
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), *([batch.column("row")] if with_row else [])], names=["doc_id", "score", "predicted", "row"][: 3 + with_row])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), *([batch.column("text"), batch.column("row")] if with_row else [])], names=["doc_id", "score", "predicted", "text", "row"][: 3 + 2 * with_row])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if with_row else []))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([others(docs, text_col).alias("row")] if with_row else []))
     schema = T._parse_datatype_string("doc_id long, score double, predicted int")
-    return rows.mapInArrow(run, T.StructType([*schema.fields, *([rows.schema["row"]] if with_row else [])]))
+    return rows.mapInArrow(tidy(run), T.StructType([*schema.fields, *([rows.schema["text"], rows.schema["row"]] if with_row else [])]))

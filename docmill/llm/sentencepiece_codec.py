@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.llm.storage import tidy
 from docmill.llm.textkernel import text_chunks
 from docmill.llm.wordcache import WordCache
 
 SPACE = "▁"
-#: A worker forgets its answers for pairs of pieces when it has so many.
-FOLLOWS = 300_000
+#: A worker forgets its stretches, or its answers for pairs of pieces, when it has so many.
+PIECES, FOLLOWS = 250_000, 150_000
 _codecs: dict[int, Codec] = {}
 
 
@@ -74,7 +75,7 @@ class Codec:
         size = np.array([len(b) for b in self.bytes_of])
         self.byte_size, self.byte_start = size, np.cumsum(size) - size
         self.byte_data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.cache = WordCache(lambda pieces: [self.ids_of(self.segment(p.decode().replace(" ", SPACE))) for p in pieces])
+        self.cache = WordCache(lambda pieces: [self.ids_of(self.segment(p.decode().replace(" ", SPACE))) for p in pieces], PIECES)
 
     def merged(self, text: str) -> list[str]:
         """The merge rule itself, for short texts: join the neighbours with the best piece, the first of equals, while there are any."""
@@ -90,6 +91,11 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def forget(self) -> None:
+        """Ends what a task has gathered; the model stays."""
+        self.cache.clear()
+        self.follows.clear()
+
     def may_follow(self, left: str, right: str) -> bool:
         known = self.follows.get((left, right))
         if known is None:
@@ -198,9 +204,10 @@ def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
                 [batch.column("doc_id"), pieces, pa.array(np.diff(at), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(trip, pa.bool_())],
                 names=["doc_id", "pieces", "n_pieces", "decoded_sha256", "round_trip"],
             )
+        own.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, pieces array<int>, n_pieces long, decoded_sha256 string, round_trip boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, pieces array<int>, n_pieces long, decoded_sha256 string, round_trip boolean")
 
 
 def decoded(rows: DataFrame, model_file: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm.blocks import Blocks, answer_of, answered, decode, encode_answer, split, unpack
+from docmill.llm.labelled import others
+from docmill.llm.storage import tidy
 from docmill.llm.textkernel import mix, utf8
 
 LENGTH = 100
@@ -215,7 +217,7 @@ def _spans(docs: DataFrame, finish, schema, id_col: str, text_col: str, length:
                     names=["kind", "bucket", "block", "payload"],
                 )
 
-    second = answered(blocks.with_answers(first).mapInArrow(windows, "kind int, bucket int, block long, payload binary"), _merge)
+    second = answered(blocks.with_answers(first).mapInArrow(tidy(windows), "kind int, bucket int, block long, payload binary"), _merge)
     second.write.parquet(f"{blocks.root}/second")
     second = blocks.spark.read.parquet(f"{blocks.root}/second")
 
@@ -229,7 +231,7 @@ def _spans(docs: DataFrame, finish, schema, id_col: str, text_col: str, length:
                 np.subtract.at(cover, hits + length, 1)
                 yield finish(x, np.cumsum(cover[:-1]) > 0)
 
-    return blocks.with_answers(first, second).mapInArrow(last, schema)
+    return blocks.with_answers(first, second).mapInArrow(tidy(last), schema)
 
 
 def _ids(x: Spans) -> pa.Array:
@@ -266,6 +268,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """For each row: doc_id, kept_text (whole characters), n_removed (bytes), and its other columns in ``row``."""
-    carry = F.struct(F.lit(0).cast("byte").alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    carry = others(docs, text_col)
     schema = T._parse_datatype_string("doc_id long, kept_text string, n_removed long")
     return _spans(docs, _texts, T.StructType([*schema.fields, T.StructField("row", docs.select(carry.alias("r")).schema["r"].dataType)]), id_col, text_col, length, carry)

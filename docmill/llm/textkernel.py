@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATOR = np.zeros(256, dtype=bool)

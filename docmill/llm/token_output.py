@@ -35,6 +35,8 @@ from docmill.llm.textkernel import span_hashes, text_chunks, word_spans
 from docmill.llm.wordcache import WordCache
 
 SCHEMA = "shard int, seq int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, ranks binary, offsets binary, words binary"
+#: Pieces that a worker remembers, and bytes of texts that it encodes together.
+PIECES, GROUP_BYTES = 1_000_000, 2 << 20
 _caches: dict[int, WordCache] = {}
 
 
@@ -46,7 +48,7 @@ def cache_of(vocabulary: str) -> WordCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary)
-        _caches[key] = WordCache(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+        _caches[key] = WordCache(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)], PIECES)
     return _caches[key]
 
 
@@ -77,7 +79,7 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def _write(vocabulary, end: int):
     def run(batches):
         cache, shard, done = cache_of(vocabulary.value), TaskContext.get().partitionId(), 0
-        for seq, (batch, data, offsets) in enumerate(text_chunks(batches)):
+        for seq, (batch, data, offsets) in enumerate(text_chunks(batches, chunk_bytes=GROUP_BYTES)):
             starts, ends, hashes, piece_offsets = pieces_of(data, offsets)
             ids, at = cache.ids(data, starts, ends, piece_offsets, end, hashes)
             counts = np.bincount(ids)

@@ -13,15 +13,12 @@ import numpy as np
 
 from docmill.llm.textkernel import span_hashes
 
-#: A worker forgets its pieces when it has so many, which bounds its memory.
-PIECES = 1_000_000
-
 
 class WordCache:
-    """``encode(list of bytes)`` gives the ids of each piece."""
+    """``encode(list of bytes)`` gives the ids of each piece.  With over ``most`` pieces the cache forgets them all."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list], most: int):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
@@ -34,7 +31,7 @@ class WordCache:
 
         ``hashes``: of the pieces, where some pieces that differ have the same ids and so may share one.
         """
-        if len(self.known) > PIECES:
+        if len(self.known) > self.most:
             self.clear()
         keys, first, inverse = np.unique(span_hashes(data, starts, ends, lower=False) if hashes is None else hashes, return_index=True, return_inverse=True)
         numbers = np.array([self.known.get(k, -1) for k in keys.tolist()], np.int64)

@@ -39,8 +39,8 @@ def test_sample_follows_targets_and_repeats(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     targets = {"source": {"a": 1, "b": 1, None: 1}, "lang": {"en": 1, "de": 1}}
     out = mixed(df, targets, budget=0.4).collect()
-    assert sorted(r["row"]["doc_id"] for r in out) == list(range(len(rows))) and {tuple(r["row"]) for r in out} == set(rows)
-    assert all(r["n_tokens"] == len(r["row"]["text"].split()) and 0 <= r["topic"] < 8 for r in out)
+    assert sorted(r["row"]["doc_id"] for r in out) == list(range(len(rows))) and {(r["row"]["doc_id"], r["text"], *r["row"][2:]) for r in out} == set(rows)
+    assert all(r["n_tokens"] == len(r["text"].split()) and 0 <= r["topic"] < 8 for r in out)
     total = sum(r["n_tokens"] for r in out)
     kept = [r for r in out if r["sampled"]]
     assert abs(sum(r["n_tokens"] * r["probability"] for r in out) / total - 0.4) < 1e-6
