@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.shipping import ship
 from docmill.llm import minhash_dedup, mixing, quality, sentencepiece_codec, suffix_dedup
-from docmill.llm.labelled import remainder
+from docmill.llm.labelled import remainder, whole
 from docmill.llm.queries import documents, labels, vocabulary
 from docmill.llm.storage import shared_root, stored
 
@@ -29,7 +29,7 @@ TOKEN_BUDGET = 0.9
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = quality.quality(docs, labels(spark, sf_dir), learn=remainder("doc_id", 3) != 1, with_row=True)
-    return scored.where(F.col("score") >= REJECT_BELOW).select("row.*")
+    return whole(scored.where(F.col("score") >= REJECT_BELOW), docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +42,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.without_repeats(docs)
-    own = {"text": F.col("kept_text").alias("text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None}
-    return out.select(*(own.get(c) if own.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns))
+    out = whole(suffix_dedup.without_repeats(docs), docs, text="kept_text")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, budget=TOKEN_BUDGET).where("sampled").select("row.*")
+    return whole(mixing.mixed(docs, budget=TOKEN_BUDGET).where("sampled"), docs)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
