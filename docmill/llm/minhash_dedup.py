@@ -34,7 +34,7 @@ from docmill.llm.textkernel import shingle_hashes, span_hashes, text_chunks, wor
 
 WORDS = 5
 MISS = 1e-6
-PART = 1024
+PART = 256
 BROADCAST_ROWS = 500_000
 NULL_ID = -(2**63)
 
