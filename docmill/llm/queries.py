@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docmill.llm import fingerprints, lm_scoring, minhash_dedup, mixing, quality, quality_rules, sentencepiece_codec, suffix_dedup, token_output, toxicity
+from docmill.llm import fingerprints, lm_scoring, minhash_dedup, mixing, quality, quality_rules, sentencepiece_codec, sql, suffix_dedup, token_output, toxicity
 from docmill.llm.labelled import crc_remainder, remainder
 
 
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
