@@ -7,12 +7,13 @@ two suffixes or more, and the groups equal after the last pass are exactly the r
    anchors at equal places.  Windows that follow each other and share an anchor form a *span*, so one digit stands for some
    35 suffixes; an anchor that occurs once ends all of its suffixes.
 2. The whole span: equal spans have all of their windows equal.  Of a class of equal spans only the first is sorted further.
-3. For first spans whose anchor stands in other spans too, the windows themselves, by two digits: the fingerprints of their
-   first and of their last 64 bytes, which together cover the window.
+3. For first spans whose anchor stands in other spans too, the windows themselves, by two digits: either is a fingerprint of
+   the window's first and last 64 bytes, which together cover it.
 
 Digits go through the block exchange (``docmill.llm.blocks``): a block sends each distinct digit once, with the smallest document
 that holds it there, so a passage of a third of all documents is as cheap in a bucket as any other.  A suffix is repeated if its
-group has an earlier member.  Digits are hashes of 96 bits or more (a 64-bit key and 32 bits beside it).
+group has an earlier member.  Spans and windows are told apart by two hashes of 64 bits, each of all of their bytes and of a
+family of its own, so neither a shared part nor an equal hash of one family makes the other hash equal.
 
 Defined cases: null and texts under ``LENGTH`` bytes lose nothing; rows with equal ids are ordered by text; columns beside id and
 text are not looked at; an empty table gives an empty result.
@@ -39,6 +40,7 @@ SPAN, ANCHOR, WINDOW = 0, 1, 2
 SHARED = np.int32(2**31 - 1)
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+_E, _F = (np.uint64(x) for x in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5))
 
 
 def msd_groups(digits: list[np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,9 +82,8 @@ class Spans:
         padded[:n] = self.data
         m = n + 128
         h8 = np.ndarray(m + 64, "<u8", padded[: m + 72].tobytes(), strides=(1,)).astype(np.uint64)
-        h16 = _join(h8[: m + 48], h8[8 : m + 56])
-        h32 = _join(h16[: m + 32], h16[16 : m + 48])
-        self.h64 = _join(h32[:m], h32[32 : m + 32])
+        h32, self.h64 = _fingerprints(h8, m, _A, _B)
+        self.g64 = _fingerprints(h8, m, _E, _F)[1]
         sizes = np.diff(self.offsets)
         windows = np.maximum(sizes - length + 1, 0)
         skipped = np.concatenate([[0], np.cumsum(windows)])[:-1]
@@ -98,10 +99,10 @@ class Spans:
         anchor = least[self.first].astype(np.int64)
         self.gram = mix(h32[anchor])
         middle = (a + z - 64) // 2
-        whole = self.h64[a] * _A + self.h64[middle] * _B + self.h64[z - 64] * _C + ((z - a) * 256 + anchor - a).astype(np.uint64) * _D
-        self.whole = mix(whole)
+        place = ((z - a) * 256 + anchor - a).astype(np.uint64) * _D
+        self.whole, self.second = (mix(h[a] * _A + h[middle] * _B + h[z - 64] * _C + place) for h in (self.h64, self.g64))
         # classes of equal spans, each by its first member, in the order of their digit
-        order, group, _ = msd_groups([self.whole, self.gram], np.arange(len(a)))
+        order, group, _ = msd_groups([self.whole, self.second], np.arange(len(a)))
         lead = np.append(True, group[1:] != group[:-1]) if len(a) else np.empty(0, bool)
         self.classes = order[lead]
         self.copies = order[~lead]
@@ -122,11 +123,11 @@ class Spans:
         counts = self.last[spans] - self.first[spans] + 1
         windows = np.arange(int(counts.sum())) + np.repeat(self.first[spans] - np.concatenate([[0], np.cumsum(counts)])[:-1], counts)
         s = self.starts[windows]
-        one, two = mix(self.h64[s]), self.h64[s + self.length - 64] >> np.uint64(32)
+        one, two = (mix(h[s] * _A + h[s + self.length - 64] * _B) for h in (self.h64, self.g64))
         order, group, _ = msd_groups([one, two], windows)
         lead = np.append(True, group[1:] != group[:-1]) if len(order) else np.empty(0, bool)
         kept = order[lead]
-        return windows[kept], one[kept], two[kept].astype(np.uint32), windows[order[~lead]]
+        return windows[kept], one[kept], two[kept], windows[order[~lead]]
 
     def open_classes(self, answers) -> tuple[np.ndarray, np.ndarray]:
         """Of the classes: which have an earlier member in another block; which first ones share their anchor with others."""
@@ -148,10 +149,17 @@ class Spans:
         return out
 
 
-def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    x = left * _A
+def _fingerprints(h8: np.ndarray, m: int, a: np.uint64, b: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Of the 32 and of the 64 bytes from each place, in the family of a and b; ``h8``: the 8 bytes from each place."""
+    h16 = _join(h8[: m + 48], h8[8 : m + 56], a, b)
+    h32 = _join(h16[: m + 32], h16[16 : m + 48], a, b)
+    return h32, _join(h32[:m], h32[32 : m + 32], a, b)
+
+
+def _join(left: np.ndarray, right: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
+    x = left * a
     x ^= x >> np.uint64(29)
-    x += right * _B
+    x += right * b
     x ^= x >> np.uint64(32)
     return x
 
@@ -179,7 +187,7 @@ def _merge(kind: int, blocks: np.ndarray, payloads: list) -> list[bytes]:
         out = np.empty(len(keys), "<i4")
         out[order] = count[group]
     else:
-        parts = [decode(p, "<u4", "<i8") for p in payloads]
+        parts = [decode(p, "<u8", "<i8") for p in payloads]
         keys, more, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
         sizes = [len(p[0]) for p in parts]
         rank = np.empty(len(keys), np.int64)
@@ -198,7 +206,7 @@ def _spans(docs: DataFrame, finish, schema, id_col: str, text_col: str, length:
 
     def digits(block, payload):
         x = Spans(payload, length)
-        yield from split(SPAN, buckets, x.whole[x.classes], (x.gram[x.classes] >> np.uint64(32)).astype("<u4"), x.doc(x.first[x.classes]))
+        yield from split(SPAN, buckets, x.whole[x.classes], x.second[x.classes], x.doc(x.first[x.classes]))
         yield from split(ANCHOR, buckets, x.grams, x.varied.astype("u1"))
 
     first = answered(blocks.send(digits), _merge)

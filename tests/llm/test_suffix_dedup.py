@@ -64,3 +64,13 @@ def test_texts_stay_whole_characters(spark):
 
 def test_empty_table(spark):
     assert repeated_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_windows_that_share_their_first_64_bytes(spark):
+    # of the last 64 bytes of either pair, the upper 32 bits of one 64-bit fingerprint are equal
+    shared = "xtzuwptbgskuztnwzbeumhhgorngoxbrnjfpmpzxhqugjekgrkhzphqmdzifpyyt"
+    ends = ["hsdzyyiacxhcshdslftqgyitkufqgoqibhri", "cgfyxynalurstxgpijnqfqnquacdqpohgxcl", "kbmygsevkevjcyzxtujplvwmuukvoatjbvmj", "mekqhzygpebbvpkxucndahfvlulyvlyfjxtw"]
+    rows = [(i, shared + end) for i, end in enumerate([*ends, ends[0]])]
+    for parts in (1, 5):
+        got = sorted((tuple(r) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()), key=str)
+        assert got == brute(rows)
