@@ -3,6 +3,8 @@
 Features of a text are its distinct words, word pairs and pairs with one word between, hashed to 2^20 coordinates.  FTRL keeps a
 learning rate for each coordinate, and its L1 term leaves most weights at exactly zero, so the model is a short list that every
 task gets.  It learns from at most ``BOUND`` labelled documents of either class (a documented bound); all documents are scored.
+Where the bound cuts the classes at different rates, the log odds are put back to those of all labels (a logistic model of rows
+sampled by class differs from that of all rows by the log ratio of the sampling rates, in its bias alone).
 
 Defined cases: null is an empty text; a text without features scores by the bias alone; without any labelled document all
 scores are 0.5; rows with equal ids are scored each by itself; columns beside id and text are not looked at.
@@ -63,21 +65,25 @@ class Ftrl:
 
 
 def _train(batches):
-    rows = []
+    rows, weight = [], {}
     for batch, data, offsets in text_chunks(batches):
         row, at = features(data, offsets)
         order = np.argsort(row, kind="stable")
         bounds = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
         for i, y in enumerate(batch.column("y").to_pylist()):
             rows.append((np.unique(at[order[bounds[i] : bounds[i + 1]]]), y))
+        weight.update(zip(batch.column("y").to_pylist(), batch.column("weight").to_pylist()))
     if rows:
         model = Ftrl(l1=L1 * min(1.0, (1 + sum(y for _, y in rows)) / L1_ROWS))
+        # rows come by the hash that a class is cut by, so the less cut class would stand alone at the end
+        order = np.random.default_rng(3).permutation(len(rows))
         for _ in range(EPOCHS):
-            for row in rows:
-                model.learn(*row)
+            for i in order:
+                model.learn(*rows[i])
         weights = model.weights()
         at = np.flatnonzero(weights)
-        raw = np.array([model.bias_weight()]).tobytes() + at.astype("<i4").tobytes() + weights[at].astype("<f4").tobytes()
+        shift = np.log(weight[1] / weight[0]) if len(weight) == 2 else 0.0
+        raw = np.array([model.bias_weight() + shift]).tobytes() + at.astype("<i4").tobytes() + weights[at].astype("<f4").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["model"])
 
 

@@ -61,6 +61,16 @@ def test_no_labels_and_no_documents(tables, score):
     assert score(docs.where("false"), labels, F.lit(True)).collect() == []
 
 
+def test_toxicity_keeps_the_rate_of_labels_where_the_bound_cuts_one_class(spark):
+    # one document in ten is toxic, by chance alone, so the score should be near 0.1 whatever the bound
+    r = random.Random(6)
+    rows = [(i, "some words", int(r.random() < 0.1)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    for bound in (200, 8000):
+        out = toxicity.toxicity(df.drop("toxic"), df.select("doc_id", "toxic"), F.lit(True), bound=bound).collect()
+        assert abs(np.mean([x["score"] for x in out]) - 0.1) < 0.06 and np.mean([x["predicted"] for x in out]) < 0.05
+
+
 def test_held_out_labels_do_not_matter(tables):
     docs, labels = tables
     other = labels.withColumn("toxic", F.when(remainder("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
