@@ -2,8 +2,9 @@
 
 The cells of a corpus are its combinations of source, language and topic.  Their token masses are counted over all documents,
 then raked: the weights are scaled to meet the targets of one margin after the other, again and again, until all three hold.
-A document is kept with the probability scale * weight of its cell, 1 at most, where the scale makes the expected tokens
-``budget`` of all, and with a number between 0 and 1 that depends on its id alone, so the sample can be made anew.
+A document is kept with a probability of its cell, raked to the targets' shares of the ``budget`` under the bound of 1, and by a
+number between 0 and 1 that depends on its id alone, so the sample can be made anew.  A category that has fewer tokens than its
+share of the budget is kept whole, and the others of its margin share the rest by their targets.
 
 Targets default to the margins' own shares to the power ``TEMPER``, which lifts small sources and languages against large ones.
 A topic is three bits of a random projection of the text's words (the signs of three sums of hash bits), eight topics in all.
@@ -74,6 +75,38 @@ def probabilities(mass: np.ndarray, factor: np.ndarray, budget: float) -> np.nda
     return np.where(mass > 0, np.minimum(1, high * factor), 1.0)
 
 
+def _steps(mass: np.ndarray, factor: np.ndarray, code: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """For each category the step that makes the mass of min(1, step * factor) what it should be."""
+    part = mass * factor
+    own = np.bincount(code, part, len(want))
+    step = np.divide(want, own, out=np.ones_like(want), where=own > 0)
+    for _ in range(60):  # Newton's method from below on a concave function of straight pieces
+        scaled = factor * step[code]
+        slope = np.bincount(code, part * (scaled < 1), len(want))
+        short = want - np.bincount(code, mass * np.minimum(1, scaled), len(want))
+        more = np.divide(short, slope, out=np.zeros_like(want), where=slope > 0).clip(0)
+        if (more <= 1e-13 * step).all():
+            break
+        step += more
+    return step
+
+
+def bounded(mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], budget: float) -> np.ndarray:
+    """Probabilities of cells, raked until each margin's kept masses are its targets' shares of the budget, or all there is."""
+    factor, total, wants = np.ones(len(mass)), mass.sum(), []
+    for code, target in zip(codes, targets):
+        own = np.bincount(code, mass, len(target))
+        wants.append(own * probabilities(own, np.divide(target, own, out=np.zeros_like(own), where=own > 0) * total, budget))
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for code, want in zip(codes, wants):
+            worst = max(worst, float(np.abs(np.bincount(code, mass * np.minimum(1, factor), len(want)) - want).max(initial=0.0)) / total)
+            factor = np.clip(factor * _steps(mass, factor, code, want)[code], 0, 1e200)
+        if worst < CLOSE:
+            break
+    return probabilities(mass, np.minimum(1, factor), budget)
+
+
 def _targets(name: str, values: list, mass: np.ndarray, given: dict | None) -> tuple[np.ndarray, np.ndarray]:
     """(code of each cell, target share by code)"""
     categories = sorted(set(values), key=lambda v: (v is not None, str(v)))
@@ -105,8 +138,8 @@ def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float
     found.sort(key=lambda r: tuple((v is not None, str(v)) for v in r[:3]))
     mass = np.array([r["n"] for r in found], float)
     margins = [_targets(name, [r[name] for r in found], mass, given.get(name)) for name in ("source", "lang", "topic")]
-    factor = rake(mass, [c for c, _ in margins], [t for _, t in margins]) if mass.sum() else np.ones(len(found))
-    p = probabilities(mass, factor, budget) if len(found) else np.empty(0)
+    codes, shares = [c for c, _ in margins], [t for _, t in margins]
+    factor, p = (rake(mass, codes, shares), bounded(mass, codes, shares, budget)) if mass.sum() else (np.ones(len(found)), np.ones(len(found)))
     table = spark.sparkContext.broadcast({(r["source"], r["lang"], r["topic"]): (float(f), float(x)) for r, f, x in zip(found, factor, p)})
     new = T.StructType([rows.schema["text"], rows.schema["row"], rows.schema["key"], *T._parse_datatype_string("topic int, n_tokens long, weight double, probability double").fields])
 

@@ -57,3 +57,13 @@ def test_nulls_empty_texts_long_texts_and_no_rows(spark):
     assert sorted(r["n_tokens"] for r in out) == [0, 0, 100000, 100000] and all(r["sampled"] for r in out)
     assert mixed(spark.createDataFrame([], SCHEMA)).collect() == []
     assert all(r["sampled"] for r in mixed(spark.createDataFrame(rows[:2], SCHEMA)).collect())
+
+
+def test_shares_meet_the_targets_where_probabilities_reach_one(spark):
+    # a source of a third and twenty small ones; languages as 4 : 1; all at the production budget
+    rows = [(i, "one two three four", "hot" if i % 3 == 0 else f"s{i % 20}", "en" if i // 60 % 5 else "de", i, "x") for i in range(3000)]
+    out = mixed(spark.createDataFrame(rows, SCHEMA), budget=0.8).collect()
+    kept = lambda f: sum(r["n_tokens"] * r["probability"] for r in out if f(r["row"])) / sum(r["n_tokens"] * r["probability"] for r in out)
+    own = [1 / 3, *[1 / 30] * 20]
+    assert abs(kept(lambda r: r["source"] == "hot") - own[0] ** 0.7 / sum(x**0.7 for x in own)) < 0.01
+    assert abs(sum(r["probability"] for r in out) - 2400) < 1e-3 and max(r["probability"] for r in out) <= 1
