@@ -8,6 +8,8 @@ Each round is written to the shared folder, so lineage stays short and a lost ex
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,7 +51,7 @@ def connected(edges: DataFrame, root: str, contract: bool = True) -> DataFrame:
     """
     edges = edges.where("u <> v")
     current = stored((edges.mapInPandas(_contract, "u long, v long") if contract else edges).distinct(), f"{root}/0")
-    for round_ in range(1, 100):
+    for round_ in count(1):
         mins = stored(
             current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")),
             f"{root}/{round_}/mins",

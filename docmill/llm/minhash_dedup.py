@@ -1,21 +1,24 @@
 """MinHash near-dedup by min-max hashing, with links confirmed on full sets (operator 8).
 
-A document's set has the hashes of its five-word shingles.  Each permutation yields two signature values, the least and the
-largest image of the set; either is equal between two sets with the probability of their Jaccard similarity, so half the hash
-evaluations give as many values, of which bands are made.  Bands only propose: ``band_plan`` takes so many that a pair at the
-threshold is missed with a probability under a millionth.
+A document's set has the hashes of its five-word shingles, 128 bits each.  Each permutation yields two signature values, the
+least and the largest image of the set; either is equal between two sets with the probability of their Jaccard similarity, so
+half the hash evaluations give as many values, of which bands are made.  Bands only propose: ``band_plan`` takes so many that a
+pair at the threshold is missed with a probability under a millionth.  (The two values of a permutation are equal together less
+often than independent ones would be, which only lowers the chance that all bands miss; a band has values of one kind.)
 
 1. Equal sets fall into one class, so thousands of copies go on as one row.
 2. Classes that share a band key are tied to the least class of that bucket (a star, never all pairs).  The connected
    components of the stars are candidate clusters; every proposed pair lies within one.
-3. Only then do full sets travel: each class once, to its cluster.  A cluster of over ``PART`` classes is dealt by hash into
-   parts, and each pair of parts is a task of its own, so no task holds more than two parts, however large the cluster.
-   A task counts exact intersections by an inverted index of its shingles and returns a spanning forest of the links.
+3. Only then do texts travel: each class' once, to its cluster.  A cluster of over ``PART`` classes, or ``PART_SHINGLES``
+   shingles, is dealt by hash into parts, and each pair of parts is a task of its own, so no task holds more than two parts,
+   however large the cluster; the tasks of one cluster go round the partitions in turn.  A task finds the pairs that can reach
+   the threshold at all by their sizes and their rarest shingles (two sets that similar share one of the rarest few), counts
+   these pairs' exact intersections, those across its two parts only, and returns a spanning forest of the links.
 4. The components of the forests are the answer.
 
 Defined cases: null, empty and wordless texts have an empty set (n_shingles 0) and are linked with nothing; one to four words
-are one shingle; rows with equal ids are one document; rows without an id are linked with nothing, have no component and are
-kept; other columns are not looked at.
+are one shingle; a text of any length is one set, whose shingles one task holds; rows with equal ids are one document; rows
+without an id are linked with nothing, have no component and are kept; other columns are not looked at; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ from pyspark.sql import functions as F
 
 from docmill.llm.components import connected, forest
 from docmill.llm.storage import partitions, shared_root, stored, tidy
-from docmill.llm.textkernel import shingle_hashes, span_hashes, text_chunks, word_spans
+from docmill.llm.textkernel import mix, shingle_hashes, span_hashes, text_chunks, word_spans
 
 WORDS = 5
 MISS = 1e-6
-PART = 256
-BROADCAST_ROWS = 500_000
+PART, PART_SHINGLES = 256, 500_000
+BROADCAST_ROWS = 100_000
 NULL_ID = -(2**63)
 
 
@@ -46,11 +49,25 @@ def band_plan(percent: int) -> tuple[int, int]:
     return rows, math.ceil(math.log(MISS) / math.log(1 - t**rows))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each row the sorted distinct shingle hashes."""
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (128-bit hashes), in order of their first halves."""
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    same = a[1:] == a[:-1]
+    if (b[1:][same] != b[:-1][same]).any():
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    keep = np.append(True, ~same)[: len(a)]
+    return a[keep], b[keep]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row its distinct shingles: the two halves of their hashes, which are of two families."""
     starts, ends, word_offsets = word_spans(data, offsets)
-    hashes, at = shingle_hashes(span_hashes(data, starts, ends), word_offsets, WORDS)
-    return [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:])]
+    halves = [shingle_hashes(span_hashes(data, starts, ends, seed=seed), word_offsets, WORDS) for seed in (0, 1)]
+    (one, at), (two, _) = halves
+    return [distinct(one[a:b], two[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
 class MinMax:
@@ -77,8 +94,6 @@ class MinMax:
 
     def keys(self, sets: list[np.ndarray]) -> np.ndarray:
         """A row of band keys for each set."""
-        from docmill.llm.textkernel import mix
-
         values = self.signatures(sets).reshape(len(sets), self.bands, self.rows).astype(np.uint64)
         total = (values * self.weight).sum(axis=2, dtype=np.uint64)
         return mix(total + np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
@@ -88,14 +103,15 @@ def _sketch(plan: tuple[int, int]):
     def run(batches):
         minmax = MinMax(*plan)
         for batch, data, offsets in text_chunks(batches):
-            sets = shingle_sets(data, offsets)
+            found = shingle_sets(data, offsets)
+            sets, others = [s for s, _ in found], [s for _, s in found]
             some = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             if some:
                 for i, row in zip(some, minmax.keys([sets[i] for i in some])):
                     keys[i] = row
             known = (batch.column("doc_id").to_numpy() != NULL_ID).tolist()
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) and k else None for s, k in zip(sets, known)]
+            prints = [xxhash.xxh3_128_digest(s.tobytes() + other.tobytes()) if len(s) and k else None for s, other, k in zip(sets, others, known)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands"]
             )
@@ -103,69 +119,96 @@ def _sketch(plan: tuple[int, int]):
     return run
 
 
-def _members(batches):
-    """Each class' set for the pairs of parts that need it."""
-    for batch, data, offsets in text_chunks(batches):
-        ids, clusters, parts, mine = (batch.column(c).to_pylist() for c in ("doc_id", "cluster", "parts", "part"))
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for row, hashes in enumerate(shingle_sets(data, offsets)):
-            raw = hashes.tobytes()
-            for other in range(parts[row]):
-                for column, value in zip(out, (clusters[row], min(mine[row], other), max(mine[row], other), ids[row], raw)):
-                    column.append(value)
-                if len(out[0]) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _MEMBER_TYPES)], names=_MEMBER)
-                    out = ([], [], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _MEMBER_TYPES)], names=_MEMBER)
-
-
-_MEMBER = ["cluster", "i", "j", "doc_id", "shingles"]
-_MEMBER_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-
-
-def links_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (x < y) with 100 * intersection >= percent * union, without those that earlier ones of x connect already."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    rows = np.repeat(np.arange(n), sizes)
-    order = np.argsort(inverse, kind="stable")
-    postings, start = rows[order], np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(values)))])
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    left, right = [], []
-    for x in range(n - 1):
-        terms = inverse[at[x] : at[x + 1]]
-        a, counts = start[terms], start[terms + 1] - start[terms]
-        places = np.arange(int(counts.sum())) + np.repeat(a - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-        common = np.bincount(postings[places], minlength=n)[x + 1 :]
-        linked = np.flatnonzero(100 * common >= percent * (sizes[x] + sizes[x + 1 :] - common)) + x + 1
-        left += [x] * len(linked)
-        right += linked.tolist()
-    return np.array(left, np.int64), np.array(right, np.int64)
+class Group:
+    """The sets of one task, their shingles numbered by rarity, those of a set in that order."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.sizes = np.array([len(s) for s, _ in sets])
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        one, two = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
+        order = np.argsort(one, kind="stable")
+        a, b = one[order], two[order]
+        if (b[1:] != b[:-1])[a[1:] == a[:-1]].any():
+            order = np.lexsort((two, one))
+            a, b = one[order], two[order]
+        number = np.empty(len(one), np.int64)
+        number[order] = np.cumsum(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) - 1
+        counts = np.bincount(number)
+        rare = np.argsort(counts, kind="stable")
+        rank = np.empty(len(rare), np.int64)
+        rank[rare] = np.arange(len(rare))
+        self.count = counts[rare]
+        self.row = np.repeat(np.arange(len(sets)), self.sizes)
+        self.terms = np.sort(self.row * len(rare) + rank[number]) - self.row * len(rare)
+
+    def postings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of each term, of the chosen places: (rows by term, the terms' offsets)."""
+        at = np.flatnonzero(chosen)
+        order = at[np.argsort(self.terms[at], kind="stable")]
+        return self.row[order], np.concatenate([[0], np.cumsum(np.bincount(self.terms[order], minlength=len(self.count)))])
+
+
+def _rows_of(terms: np.ndarray, postings: np.ndarray, start: np.ndarray) -> np.ndarray:
+    a, counts = start[terms], start[terms + 1] - start[terms]
+    places = np.arange(int(counts.sum())) + np.repeat(a - (np.cumsum(counts) - counts), counts)
+    return postings[places]
+
+
+def links_of(sets: list[tuple[np.ndarray, np.ndarray]], percent: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x < y) with 100 * intersection >= percent * union; with ``left``, x is of the first so many sets and y of the rest."""
+    group, n = Group(sets), len(sets)
+    sizes, at = group.sizes, group.at
+    # a pair at the threshold shares at least one of either set's rarest size - ceil(percent * size / 100) + 1 shingles
+    prefix = sizes + (-percent * sizes // 100) + 1
+    place = np.arange(at[-1]) - at[:-1][group.row]
+    right = group.row >= (left or 0)
+    probe, probe_at = group.postings(right & (place < prefix[group.row]) & (group.count[group.terms] > 1))
+    full = None
+    xs, ys = [], []
+    for x in range(n - 1 if left is None else left):
+        terms = group.terms[at[x] : at[x] + prefix[x]]
+        found = _rows_of(terms, probe, probe_at)
+        found = found[found > x]
+        found = found[100 * np.minimum(sizes[x], sizes[found]) >= percent * np.maximum(sizes[x], sizes[found])]
+        if len(found):
+            full = full or group.postings(right)
+            found = np.unique(found)
+            common = np.bincount(_rows_of(group.terms[at[x] : at[x + 1]], *full), minlength=n)[found]
+            found = found[100 * common >= percent * (sizes[x] + sizes[found] - common)]
+            xs += [x] * len(found)
+            ys += found.tolist()
+    return np.array(xs, np.int64), np.array(ys, np.int64)
 
 
 def _confirm(percent: int):
-    def links(ids: list[int], raw: list[bytes]) -> pa.RecordBatch:
-        order = np.argsort(np.array(ids, np.int64), kind="stable")
-        nodes = np.array(ids, np.int64)[order]
-        left, right = links_of([np.frombuffer(raw[i], np.uint64) for i in order], percent)
-        root = forest(len(nodes), left, right)
+    def links(rows: list[tuple[int, int, tuple]]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[:2])  # by part and id
+        nodes = np.array([r[1] for r in rows], np.int64)
+        left = sum(r[0] == rows[0][0] for r in rows)
+        a, b = links_of([r[2] for r in rows], percent, None if left == len(rows) else left)
+        # the forest's root should be the least id
+        order = np.argsort(nodes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        root = forest(len(nodes), place[a], place[b])
         moved = root != np.arange(len(nodes))
+        nodes = nodes[order]
         return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["u", "v"])
 
     def run(batches):
         """Rows stand sorted by cluster and pair of parts, which may go on in the next batch."""
-        task, ids, raw = None, [], []
-        for batch in batches:
-            for key, doc_id, value in zip(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j"))), batch.column("doc_id").to_pylist(), batch.column("shingles").to_pylist()):
+        task, rows = None, []
+        for batch, data, offsets in text_chunks(batches):
+            sets = shingle_sets(data, offsets)
+            for key, part, doc_id, own in zip(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j"))), batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), sets):
                 if key != task:
-                    if len(ids) > 1:
-                        yield links(ids, raw)
-                    task, ids, raw = key, [], []
-                ids.append(doc_id)
-                raw.append(value)
-        if len(ids) > 1:
-            yield links(ids, raw)
+                    if len(rows) > 1 and (task[1] == task[2] or len({r[0] for r in rows}) > 1):
+                        yield links(rows)
+                    task, rows = key, []
+                if len(own[0]):
+                    rows.append((part, doc_id, own))
+        if len(rows) > 1 and (task[1] == task[2] or len({r[0] for r in rows}) > 1):
+            yield links(rows)
 
     return run
 
@@ -186,13 +229,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     clusters = connected(stars, f"{root}/clusters")
 
     nodes = clusters.select(F.col("u").alias("doc_id"), F.col("v").alias("cluster")).unionByName(clusters.select(F.col("v").alias("doc_id"), F.col("v").alias("cluster")).distinct())
-    sizes = stored(nodes.groupBy("cluster").agg(F.count("*").alias("n")).select("cluster", F.ceil(F.col("n") / part).cast("int").alias("parts")), f"{root}/sizes")
+    sized = some.select("print", F.col("doc_id").alias("class"), "n_shingles").join(classes, ["print", "class"]).groupBy(F.col("class").alias("doc_id")).agg(F.max("n_shingles").alias("size"))
+    sizes = nodes.join(sized, "doc_id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
     nodes = stored(nodes.join(sizes, "cluster").select("doc_id", "cluster", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")), f"{root}/nodes")
-    # the ids go to the documents if they are few by count, else both sides are shuffled
+    # four numbers a row, so some 4 MB at most go to the documents; else both sides are shuffled
     side = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    sent = rows.join(side, "doc_id").mapInArrow(tidy(_members), "cluster long, i int, j int, doc_id long, shingles binary").where(F.length("shingles") > 0)
-    keys = ["cluster", "i", "j"]
-    links = sent.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(tidy(_confirm(percent)), "u long, v long")
+    own = F.col("part")
+    sent = rows.join(side, "doc_id").where("text is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sent = sent.select("cluster", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), own, "doc_id", "text", "parts")
+    # the pairs of a cluster's parts, one after the other, go round the partitions in turn
+    n = partitions(spark)
+    turn = F.pmod(F.xxhash64("cluster") + F.col("i").cast("long") * F.col("parts") - F.expr("i * (i + 1) div 2") + F.col("j"), F.lit(n)).cast("int")
+    sent = sent.repartitionById(n, turn).select("cluster", "i", "j", "part", "doc_id", "text")
+    links = sent.sortWithinPartitions("cluster", "i", "j").mapInArrow(tidy(_confirm(percent)), "u long, v long").distinct()
     components = connected(links, f"{root}/components", contract=False)
 
     out = sketches.select("doc_id", "n_shingles", "print").join(classes, "print", "left")

@@ -12,7 +12,8 @@ of pieces are kept.  Either way the result equals the library's.
 Pieces don't reach across certain places (between characters that are neighbours in no piece), so a worker runs the automaton
 once for each distinct stretch between them and copies the ids from there on (``docmill.llm.wordcache``).
 
-Defined cases: null and empty texts have no pieces; characters without a piece become their UTF-8 bytes' pieces; a literal U+2581
+Defined cases: null and empty texts have no pieces; characters without a piece become their UTF-8 bytes' pieces, or the
+unknown piece in a model without byte pieces; a model that changes texts first (``normalizer_spec``) is refused; a literal U+2581
 decodes as a space, as in the library (``round_trip`` is false for its text); rows with equal ids are encoded each by itself;
 other columns are not looked at.
 """
@@ -44,8 +45,11 @@ class Codec:
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(raw)
         self.merging = model.trainer_spec.model_type == 2
+        rules = model.normalizer_spec
+        if rules.precompiled_charsmap or not rules.add_dummy_prefix or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
+            raise ValueError("the model changes texts before it parts them (normalizer_spec), which this codec does not")
         own = SentencePieceProcessor(model_proto=raw)
-        n = own.get_piece_size()
+        n, self.unknown = own.get_piece_size(), own.unk_id()
         self.score, self.id = {}, {}
         self.byte_id = {}
         self.bytes_of: list[bytes] = []
@@ -140,7 +144,7 @@ class Codec:
         for piece in pieces:
             i = self.id.get(piece)
             if i is None:
-                out += [self.byte_id[b] for b in piece.encode()]
+                out += [self.byte_id.get(b, self.unknown) for b in piece.encode()] if self.byte_id else [self.unknown]
             else:
                 out.append(i)
         return out

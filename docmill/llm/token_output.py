@@ -10,18 +10,21 @@ of whole documents of about two megabytes of text:
     ranks               ids of the group by falling frequency; the coded integers are places in this list
     offsets, words      the Simple-8b blocks and their words
 
-The vocabulary never joins text across white space and some other places, so a worker encodes each distinct piece once.  Shards are the ranges of one
-range partitioning; the ids before a shard are the sum of the shards before, of which there are as many as partitions.
+A vocabulary that never joins text across white space and some other places (``parts_words`` looks at its rules) lets a worker encode
+each distinct piece once; any other vocabulary is given whole texts.  Shards are the ranges of one range partitioning; the ids before a shard are the sum of the shards before, of which there are as many as partitions.
 
-Defined cases: null and empty texts have the end id alone; rows with equal ids stand in the order of their texts, a null id before
+Defined cases: null and empty texts have the end id alone; a text of any length is encoded whole, in a group of its own if it is
+longer than one; rows with equal ids stand in the order of their texts, a null id before
 all others; special tokens' strings in a text become special ids, as the library does by default; no documents give no rows; other
 columns are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +34,54 @@ from pyspark.sql import functions as F
 
 from docmill.llm import simple8b
 from docmill.llm.storage import partitions, shared_root
-from docmill.llm.textkernel import span_hashes, text_chunks, word_spans
+from docmill.llm.textkernel import text_chunks, word_spans
 from docmill.llm.wordcache import WordCache
 
 SCHEMA = "shard int, seq int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, ranks binary, offsets binary, words binary"
 #: Pieces that a worker remembers, and bytes of texts that it encodes together.
 PIECES, GROUP_BYTES = 1_000_000, 2 << 20
-_caches: dict[int, WordCache] = {}
+_encoders: dict[int, Encoder] = {}
 
 
-def cache_of(vocabulary: str) -> WordCache:
-    """This worker's cache for a vocabulary (a file's content) of the tokenizers library."""
-    key = hash(vocabulary)
-    if key not in _caches:
+#: How the vocabulary must treat texts for its pieces to be told by ``pieces_of``: fixed values of its file.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_words(vocabulary: str) -> bool:
+    """Whether a vocabulary takes upper for lower case and never joins text where ``pieces_of`` cuts."""
+    own = json.loads(vocabulary)
+    first = ((own.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    plain = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and t["content"][:2] == "<|" for t in own.get("added_tokens") or ())
+    return plain and (own.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and first.get("pattern") == {"Regex": _PATTERN} and first.get("behavior") == "Removed"
+
+
+class Encoder:
+    """``ids(data, offsets, end)``: the ids of UTF-8 texts, with ``end`` after each, and the texts' offsets into them."""
+
+    def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary)
-        _caches[key] = WordCache(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)], PIECES)
-    return _caches[key]
+        self.encode = lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        self.cache = WordCache(self.encode, PIECES) if parts_words(vocabulary) else None
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.cache is not None:
+            data, starts, ends, at = pieces_of(data, offsets)
+            return self.cache.ids(data, starts, ends, at, end)
+        raw = data.tobytes()  # a vocabulary that is not known to part words sees whole texts
+        rows = [[*ids, end] for ids in self.encode([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])]
+        return np.fromiter(chain.from_iterable(rows), np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """This worker's encoder for a vocabulary (a file's content) of the tokenizers library."""
+    key = hash(vocabulary)
+    if key not in _encoders:
+        _encoders[key] = Encoder(vocabulary)
+    return _encoders[key]
 
 
 _LETTER = np.array([chr(i).isascii() and chr(i).isalpha() for i in range(256)])
@@ -57,31 +89,34 @@ _MARK = np.array([32 < i < 127 and not chr(i).isalnum() and i != 39 for i in ran
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the pieces of texts, and the rows' offsets into them.
+    """Texts' bytes, the starts and ends of their pieces, and the rows' offsets into these.
 
     The vocabulary's pattern parts words at white space and between a letter and a mark other than the apostrophe, and it takes
-    upper for lower case, so ASCII pieces have their hash from their lower case.  Texts that may hold special tokens' strings,
-    which its patterns don't part, are cut at white space only and hashed as they are.
+    upper for lower case, so ASCII pieces are given in lower case.  Texts that may hold special tokens' strings, which its
+    patterns don't part, are cut at white space only and left as they are.
     """
     starts, ends, at = word_spans(data, offsets)
     if ((data[:-1] == 60) & (data[1:] == 124)).any():
-        return starts, ends, span_hashes(data, starts, ends, lower=False), at
+        return data, starts, ends, at
     cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
     cut = cut[~np.isin(cut, starts, assume_unique=True)]  # the first of a row is parted already
     starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
     high = np.concatenate([[0], np.cumsum(data >= 128)])
     exact = np.flatnonzero(high[ends] > high[starts])
-    hashes = span_hashes(data, starts, ends)
-    hashes[exact] = span_hashes(data, starts[exact], ends[exact], lower=False)
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    upper = (data >= 65) & (data <= 90)
+    if len(exact):  # pieces with other characters keep their case
+        edge = np.zeros(len(data) + 1, np.int32)
+        edge[starts[exact]] += 1
+        edge[ends[exact]] -= 1
+        upper &= np.cumsum(edge[:-1]) == 0
+    return np.where(upper, data + 32, data).astype(np.uint8), starts, ends, np.searchsorted(starts, offsets)
 
 
 def _write(vocabulary, end: int):
     def run(batches):
-        cache, shard, done = cache_of(vocabulary.value), TaskContext.get().partitionId(), 0
+        encoder, shard, done = encoder_of(vocabulary.value), TaskContext.get().partitionId(), 0
         for seq, (batch, data, offsets) in enumerate(text_chunks(batches, chunk_bytes=GROUP_BYTES)):
-            starts, ends, hashes, piece_offsets = pieces_of(data, offsets)
-            ids, at = cache.ids(data, starts, ends, piece_offsets, end, hashes)
+            ids, at = encoder.ids(data, offsets, end)
             counts = np.bincount(ids)
             ranks = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
             place = np.zeros(len(counts), np.uint64)
