@@ -23,7 +23,9 @@ from docmill.llm.storage import partitions, shared_root, tidy
 from docmill.llm.textkernel import row_chunks, utf8
 
 BLOCK_BYTES = 1 << 20
-BLOCK_SCHEMA = "block long, payload binary"
+#: Bytes of text for each hash bucket, so that what a bucket's task holds does not grow with the corpus.
+BUCKET_BYTES = 64 << 20
+BLOCK_SCHEMA = "block long, size long, payload binary"
 BLOB_SCHEMA = "kind int, bucket int, block long, payload binary"
 
 
@@ -46,19 +48,21 @@ class Blocks:
         """``carry``: a column that goes along with each row, as ``row``."""
         spark = self.spark = docs.sparkSession
         self.root, self.table = shared_root(spark, name), f"docmill_{name}_{uuid.uuid4().hex}"
-        self.buckets = partitions(spark)
+        tables = partitions(spark)
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if carry is None else [carry.alias("row")]))
         (
             rows.mapInArrow(tidy(_to_blocks), BLOCK_SCHEMA)
             .write.format("parquet")
             .option("compression", "uncompressed")
-            .bucketBy(self.buckets, "block")
+            .bucketBy(tables, "block")
             .option("path", f"{self.root}/blocks")
             .saveAsTable(self.table)
         )
+        total = spark.table(self.table).agg(F.sum("size")).first()[0] or 0
+        self.buckets = max(tables, -(-total // BUCKET_BYTES))
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+        return self.spark.table(self.table).select("block", "payload")
 
     def send(self, blobs) -> DataFrame:
         """One pass: ``blobs(block, payload)`` yields (kind, bucket, payload) rows."""
@@ -106,7 +110,7 @@ def _to_blocks(batches):
     def block():
         table = pa.Table.from_batches(kept).combine_chunks()
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([_pack(table.to_batches()[0])], pa.binary())], names=["block", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack(table.to_batches()[0])], pa.binary())], names=["block", "size", "payload"])
 
     for batch in batches:
         ids = batch.column("doc_id").fill_null(-(2**63))

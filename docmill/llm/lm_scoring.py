@@ -3,38 +3,53 @@
 Tokens are the words of a text and one end.  Their exact counts over all training documents come from the block exchange: each
 block sends its distinct words' counts to hash buckets and gets back, for each of its words, the count in the whole corpus.
 
-The model predicts *units*: the most frequent words and the end stand for themselves, every other word for the bin of its last
-letters.  p(word) = p(unit | two units before) * p(word | unit), where the second factor is the smoothed share of the word in its
-bin.  The first factor is log-bilinear: the context's position-wise vectors are added up and multiplied with the units' vectors.
-It is trained in numpy by noise-contrastive estimation on the trigram counts of units over *all* training documents; those counts
-are bounded by UNITS ** 3 whatever the corpus.  Scoring normalises: one batched matrix product gives the log-probabilities of
-all units in all contexts, and tokens look theirs up.
-
-Defined cases: null is an empty text, which has the one token end; without training documents every probability is that of the
-smoothing alone (base score 0 for an empty text); rows with equal ids are scored each by itself; other columns are not looked at.
+The model predicts *units*.  Every word with a share of at least ``SHARE`` of the training tokens is one (so there are at most
+1 / SHARE of them, whatever the corpus), and each *class* of words by their endings has one more unit for the rest of its words;
+the end is a class by itself.  A word's probability is
+
+    p(class | two units before) * p(unit | class, two units before) * p(word | unit)
+
+The first two are log-bilinear: the context's position-wise vectors are added up and multiplied with the vectors of classes, and
+of the units of the class.  The last is 1, or the smoothed share of the word in the rest of its class.
+
+All parameters are trained in numpy by noise-contrastive estimation.  The number of steps follows the training tokens: every
+training token is seen, in ``ROUNDS`` rounds that deal out all documents.  In a round, learners (one for ``LEARNER_TOKENS`` tokens,
+at most ``LEARNERS``) go through their shares one after the other batch, each from the same model, and the mean of what they have
+learned is the next round's model.  Corpora under ``LEAST_TOKENS`` are gone through up to ``PASSES`` times.  Scoring normalises: batched
+matrix products give all classes of a context, and all units of a class in a context.
+
+Defined cases: null is an empty text, which has the one token end; a text of any length is scored whole, in a block of its own if
+it is longer than one; without training documents every probability is that of the smoothing alone (base score 0 for an empty
+text); rows with equal ids are scored each by itself; no documents give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.blocks import Blocks, answer_of, answered, decode, encode, encode_answer, split, unpack
+from docmill.llm.blocks import Blocks, answer_of, answered, decode, encode_answer, split, unpack
 from docmill.llm.storage import stored, tidy
 from docmill.llm.textkernel import row_of, span_hashes, utf8, word_spans
 
-UNITS = 128
-TOP = 48
-END, BINS = TOP, UNITS - TOP - 1
-START = TOP  # the unit before the first word; an end is never before anything
+SHARE = 2.0**-15
+#: Units below ``WORD``: the rest of each class, the end (a class too), and what stands before a text (in contexts only).
+BINS = 126
+END, START, WORD = BINS, BINS + 1, BINS + 2
+CLASSES = BINS + 1
 SMOOTH = 0.1
-DIM, NOISE, BATCH, STEPS, RATE = 24, 128, 8192, 600, 0.02
+DIM, BATCH, RATE, CLASS_NOISE, UNIT_NOISE = 24, 1024, 0.1, 64, 3
+ROUNDS, LEARNER_TOKENS, LEARNERS = 4, 4_000_000, 1024
+LEAST_TOKENS, PASSES = 1_000_000, 16
+SLICES = 64
 END_KEY = np.uint64(0x454E44)
-WORDS, TRIGRAMS = 0, 1
+WORDS = 0
 
 
 class Tokens:
@@ -57,23 +72,21 @@ class Tokens:
         self.bins = bins[first]
         self.counts = np.bincount(self.place, self.learn[self.row], len(self.keys)).astype("<u4")
 
-    def units(self, top: np.ndarray) -> np.ndarray:
-        """The unit of each distinct key; ``top``: sorted keys of the frequent words."""
-        out = END + 1 + self.bins.astype(np.int64)
-        if len(top):
-            at = np.minimum(np.searchsorted(top, self.keys), len(top) - 1)
-            out = np.where(top[at] == self.keys, at, out)
+    def units(self, words: Words) -> np.ndarray:
+        """The unit of each distinct key."""
+        out = self.bins.astype(np.int64)
+        if len(words.keys):
+            at = np.minimum(np.searchsorted(words.keys, self.keys), len(words.keys) - 1)
+            out = np.where(words.keys[at] == self.keys, at + WORD, out)
         return np.where(self.keys == END_KEY, END, out)
 
-    def contexts(self, units: np.ndarray) -> np.ndarray:
-        """The code of the two units before each token."""
-        one, two = np.full(len(units), START, np.int64), np.full(len(units), START, np.int64)
-        one[1:], two[2:] = units[:-1], units[:-2]
-        first = self.offsets[:-1]
-        one[first] = two[first] = START
-        second = first + 1
-        two[second[second < self.offsets[1:]]] = START
-        return two * UNITS + one
+
+def contexts(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit before each token of whole texts that stand one after the other, and the one before that."""
+    one, two = np.full(len(units), START, np.int64), np.full(len(units), START, np.int64)
+    one[1:] = np.where(units[:-1] == END, START, units[:-1])
+    two[2:] = np.where((units[:-2] == END) | (units[1:-1] == END), START, units[:-2])
+    return one, two
 
 
 def _bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -96,13 +109,12 @@ def _merge(kind: int, blocks: np.ndarray, payloads: list) -> list[bytes]:
     total = np.bincount(at, counts, len(uniq)).astype("<i8")
     bounds = np.cumsum([0, *(len(p[0]) for p in parts)])
     answers = [encode_answer(total[at[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])]
-    # besides, the first block's answer carries the bucket's own sums, and most frequent words
+    # besides, the first block's answer carries the bucket's own sums, and what words may have the share of a unit
     bins = np.zeros(len(uniq), np.uint8)
     bins[at] = np.concatenate([p[2] for p in parts])
     seen = total > 0
     sums = np.concatenate([np.bincount(bins[seen], weights=w, minlength=256) for w in (total[seen], np.ones(int(seen.sum())))]).astype("<i8")
-    top = np.flatnonzero((bins != 255) & seen)
-    top = top[np.lexsort((uniq[top], -total[top]))[:TOP]]
+    top = np.flatnonzero((bins != 255) & seen & (total >= SHARE * total.sum()))
     extra = sums.tobytes() + struct.pack("<I", len(top)) + uniq[top].astype("<u8").tobytes() + total[top].tobytes() + bins[top].tobytes()
     return [struct.pack("<I", len(a)) + a + (extra if i == 0 else b"") for i, a in enumerate(answers)]
 
@@ -128,60 +140,229 @@ def _totals(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["bin", "key", "n", "words"])
 
 
-def train_nce(codes: np.ndarray, counts: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context vectors by position and unit, unit vectors, unit biases) from trigram codes and their counts."""
-    r = np.random.default_rng(seed)
-    context, vectors = (r.normal(0, 0.1, s).astype(np.float32) for s in ((2 * UNITS, DIM), (UNITS, DIM)))
-    unigram = np.bincount(codes % UNITS, counts, UNITS) + 0.5
-    bias = np.log(unigram / unigram.sum()).astype(np.float32)
-    noise = np.sqrt(unigram) / np.sqrt(unigram).sum()  # flatter than the data, so that rare units meet noise often enough
-    ends = np.cumsum(counts, dtype=np.float64)
-    log_kq = np.log(NOISE * noise).astype(np.float32)
-    state = [np.zeros_like(p) for p in (context, vectors, bias)], [np.zeros_like(p) for p in (context, vectors, bias)]
-    eye = np.eye(2 * UNITS, dtype=np.float32)
-    for step in range(1, STEPS + 1):
-        code = codes[np.searchsorted(ends, r.random(BATCH) * ends[-1], side="right").clip(max=len(codes) - 1)]
-        target, one, two = code % UNITS, code // UNITS % UNITS, code // UNITS**2
-        drawn = r.choice(UNITS, NOISE, p=noise)
-        hidden = context[one] + context[UNITS + two]
-        # a data row should be told from noise, and each of the noise units, drawn for the whole batch, from data
-        right = 1 / (1 + np.exp(-((hidden * vectors[target]).sum(1) + bias[target] - log_kq[target]))) - 1
-        wrong = 1 / (1 + np.exp(-(hidden @ vectors[drawn].T + bias[drawn] - log_kq[drawn])))
-        chosen, others = eye[target, :UNITS], eye[drawn, :UNITS]
-        g_hidden = (right[:, None] * vectors[target] + wrong @ vectors[drawn]) / BATCH
-        grads = [
-            (eye[one] + eye[UNITS + two]).T @ g_hidden,
-            (chosen.T @ (right[:, None] * hidden) + others.T @ (wrong.T @ hidden)) / BATCH,
-            (chosen.T @ right + others.T @ wrong.sum(0)) / BATCH,
-        ]
-        rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
-        for p, g, m, v in zip((context, vectors, bias), grads, *state):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return context, vectors, bias
-
-
-def unit_log10(context: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """log10 p(unit | context code), normalised over the units."""
-    hidden = (context[None, :UNITS] + context[UNITS:, None]).reshape(-1, DIM)
-    logits = hidden @ vectors.T + bias
-    logits -= logits.max(1, keepdims=True)
-    return ((logits - np.log(np.exp(logits).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
-
-
-def _fit(batches):
-    codes, counts = [], []
+class Words:
+    """What the corpus' counts say of the units: keys (sorted) and counts of words, tokens and kinds of the rest of each class."""
+
+    def __init__(self, keys: np.ndarray, bins: np.ndarray, counts: np.ndarray, rest: np.ndarray, kinds: np.ndarray, end: int):
+        self.keys, self.rest, self.kinds = keys, rest, kinds
+        self.classes = np.concatenate([np.arange(WORD), bins])  # of units; the class of START is never asked for
+        self.counts = np.concatenate([rest, [end, 0], counts]).astype(float)
+        # units in the order of their classes, without START; a unit's place there, and the classes' bounds
+        order = np.argsort(self.classes, kind="stable")
+        self.members = order[order != START]
+        self.place = np.zeros(len(self.classes), np.int64)
+        self.place[self.members] = np.arange(len(self.members))
+        self.bounds = np.searchsorted(self.classes[self.members], np.arange(CLASSES + 1))
+
+    def within(self, unit: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """log10 p(word | unit) of words with these counts."""
+        rest = unit < END
+        at = np.where(rest, unit, 0)
+        share = (count + SMOOTH) / (self.rest[at] + SMOOTH * (self.kinds[at] + 1))
+        return np.where(rest, np.log10(share), 0.0)
+
+
+class Model:
+    """The parameters: vectors of units as first and second word before, vectors and biases of classes and of units (by place)."""
+
+    def __init__(self, words: Words, raw: bytes | None = None):
+        self.words = words
+        n, m = len(words.classes), len(words.members)
+        # after the parameters, the sums of squares by which steps shrink
+        self.shapes = [(n, DIM), (n, DIM), (CLASSES, DIM), (CLASSES,), (m, DIM), (m,), (n,), (n,), (CLASSES,), (m,)]
+        if raw is not None:
+            self.flat = np.frombuffer(raw, "<f4").copy()
+        else:
+            self.flat = np.zeros(sum(math.prod(s) for s in self.shapes), np.float32)
+        self.parts, at = [], 0
+        for shape in self.shapes:
+            self.parts.append(self.flat[at : at + math.prod(shape)].reshape(shape))
+            at += math.prod(shape)
+        unigram = words.counts[words.members] + 0.5
+        by_class = np.add.reduceat(unigram, words.bounds[:-1])
+        self.class_share, self.unit_share = by_class / by_class.sum(), unigram / np.repeat(by_class, np.diff(words.bounds))
+        self.noise = np.cumsum(unigram)
+        if raw is None:
+            r = np.random.default_rng(7)
+            for part in (self.parts[0], self.parts[1], self.parts[2], self.parts[4]):
+                part[:] = r.normal(0, 0.1, part.shape)
+            self.parts[3][:], self.parts[5][:] = np.log(self.class_share), np.log(self.unit_share)
+            for part in self.parts[6:]:
+                part[:] = 1.0
+
+    def learn(self, units: np.ndarray, seed: int) -> None:
+        """One pass over the tokens of whole texts, in random order."""
+        r = np.random.default_rng(seed)
+        one, two = contexts(units)
+        classes, places = self.words.classes[units], self.words.place[units]
+        class_kq, unit_kq = np.log(CLASS_NOISE * self.class_share).astype(np.float32), np.log(UNIT_NOISE * self.unit_share).astype(np.float32)
+        class_cdf = np.cumsum(self.class_share)
+        low = np.concatenate([[0.0], self.noise])[self.words.bounds]
+        order, eye = r.permutation(len(units)), np.eye(CLASSES, dtype=np.float32)
+        first, second, cv, cb, uv, ub, sq1, sq2, sqc, squ = self.parts
+        for k in range(0, len(order), BATCH):
+            at = order[k : k + BATCH]
+            a, b, c, u = one[at], two[at], classes[at], places[at]
+            hidden = first[a] + second[b]
+            # a data row should be told from noise classes, drawn for the whole batch, and those from data
+            drawn = np.minimum(np.searchsorted(class_cdf, r.random(CLASS_NOISE), side="right"), CLASSES - 1)
+            right = _sigmoid(np.einsum("nd,nd->n", hidden, cv[c]) + cb[c] - class_kq[c]) - 1
+            wrong = _sigmoid(hidden @ cv[drawn].T + (cb - class_kq)[drawn])
+            g_hidden = right[:, None] * cv[c] + wrong @ cv[drawn]
+            g_class = np.zeros((CLASSES, DIM + 1), np.float32)
+            onehot = np.zeros((len(at), CLASSES), np.float32)
+            onehot[np.arange(len(at)), c] = right
+            onehot += wrong @ eye[drawn]
+            g_class[:, :DIM], g_class[:, DIM] = onehot.T @ hidden, onehot.sum(0)
+            # and its unit from noise units of its class
+            x = low[c, None] + r.random((len(at), UNIT_NOISE)) * (low[c + 1] - low[c])[:, None]
+            noise = np.minimum(np.searchsorted(self.noise, x.reshape(-1), side="right"), len(ub) - 1)
+            pick = np.concatenate([u[:, None], noise.reshape(x.shape)], axis=1)
+            vectors = uv[pick]
+            g = _sigmoid(np.einsum("nkd,nd->nk", vectors, hidden) + (ub - unit_kq)[pick])
+            g[:, 0] -= 1
+            g_hidden += np.einsum("nk,nkd->nd", g, vectors)
+            g_unit = np.empty((*g.shape, DIM + 1), np.float32)
+            np.multiply(g[:, :, None], hidden[:, None, :], out=g_unit[:, :, :DIM])
+            g_unit[:, :, DIM] = g
+            _step(first, None, sq1, a, g_hidden)
+            _step(second, None, sq2, b, g_hidden)
+            _step(uv, ub, squ, pick.reshape(-1), g_unit.reshape(-1, DIM + 1))
+            sqc += (g_class * g_class).mean(1)
+            g_class *= (RATE / np.sqrt(sqc))[:, None]
+            cv -= g_class[:, :DIM]
+            cb -= g_class[:, DIM]
+
+    def log10(self, one: np.ndarray, two: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """log10 of p(class, unit | context) of tokens, normalised over all classes and over all units of the class."""
+        first, second, cv, cb, uv, ub = self.parts[:6]
+        n = len(self.words.classes)
+        contexts_, at = np.unique(one * n + two, return_inverse=True)
+        hidden = first[contexts_ // n] + second[contexts_ % n]
+        logits = hidden @ cv.T + cb
+        c = self.words.classes[units]
+        out = logits[at, c] - _log_sum(logits)[at]
+        # distinct contexts of each class
+        pairs, place = np.unique(c * np.int64(len(contexts_)) + at, return_inverse=True)
+        total = np.empty(len(pairs), np.float32)
+        which, context = pairs // max(len(contexts_), 1), pairs % max(len(contexts_), 1)
+        edges = np.searchsorted(which, np.arange(CLASSES + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = self.words.bounds[k], self.words.bounds[k + 1]
+            for i in range(edges[k], edges[k + 1], 8192):
+                j = min(i + 8192, edges[k + 1])
+                total[i:j] = _log_sum(hidden[context[i:j]] @ uv[a:b].T + ub[a:b])
+        p = self.words.place[units]
+        own = np.empty(len(units), np.float32)
+        for i in range(0, len(units), 65536):
+            rows = slice(i, i + 65536)
+            own[rows] = np.einsum("nd,nd->n", hidden[at[rows]], uv[p[rows]])
+        return ((out + own + ub[p] - total[place]) / math.log(10)).astype(float)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    top = logits.max(1)
+    return np.log(np.exp(logits - top[:, None]).sum(1)) + top
+
+
+def _step(vectors: np.ndarray, bias: np.ndarray | None, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+    """A step down the rows' summed gradients, the smaller the more a row has moved; the last column is the bias'."""
+    order = np.argsort(rows.astype(np.uint16 if len(vectors) <= 1 << 16 else np.uint32), kind="stable")  # a radix sort, if small
+    sorted_ = rows[order]
+    edge = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    at, g = sorted_[edge], np.add.reduceat(g[order], edge, axis=0)
+    squares[at] += (g * g).mean(1)
+    g *= (RATE / np.sqrt(squares[at]))[:, None]
+    vectors[at] -= g[:, :DIM]
+    if bias is not None:
+        bias[at] -= g[:, DIM]
+
+
+def _units(blocks: Blocks, words, learns, learners: int) -> DataFrame:
+    """The training documents' units, dealt to rounds and learners."""
+
+    def run(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                x = Tokens(payload.as_buffer(), learns)
+                units = x.units(words.value)[x.place].astype("<u4")
+                # a document's round comes from its place in the block
+                chosen = np.flatnonzero(x.learn)
+                turn = np.empty(len(chosen), np.int64)
+                turn[np.random.default_rng(block % 2**32).permutation(len(chosen))] = np.arange(len(chosen)) % ROUNDS
+                of_doc = np.full(len(x.ids), -1)
+                of_doc[chosen] = turn
+                of_token = of_doc[x.row]
+                rows = [(k, units[of_token == k]) for k in range(ROUNDS)]
+                rows = [(k, u) for k, u in rows if len(u)]
+                learner = hash((block >> 32, block & 0xFFFFFFFF)) % learners
+                pack = zstandard.ZstdCompressor(level=1).compress
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in rows], pa.int32()), pa.array([learner] * len(rows), pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([pack(u.tobytes()) for _, u in rows], pa.binary())],
+                    names=["round", "learner", "block", "payload"],
+                )
+
+    return blocks.read().mapInArrow(tidy(run), "round int, learner int, block long, payload binary")
+
+
+def _learned(rows: DataFrame, words, raw, round_: int, passes: int) -> DataFrame:
+    """What each learner makes of the model ``raw`` out of its rows: its parameters in slices, and the tokens that it saw."""
+
+    def run(batches):
+        model, tokens, learner = Model(words.value, raw.value), 0, None
+        for batch in batches:
+            for learner, block, payload in zip(batch.column("learner").to_pylist(), batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+                units = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), "<u4").astype(np.int64)
+                for k in range(passes):
+                    model.learn(units, [round_, k, block >> 32, block & 0xFFFFFFFF])
+                tokens += len(units)
+        if tokens:
+            parts = np.array_split(model.flat, SLICES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(SLICES), pa.int32()), pa.array([learner] * SLICES, pa.int32()), pa.array([tokens] * SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "learner", "tokens", "payload"]
+            )
+
+    return rows.mapInArrow(tidy(run), "slice int, learner int, tokens long, payload binary")
+
+
+def _mean(batches):
+    """The mean of each slice, weighted by tokens; rows stand by slice and learner."""
+    own, total, seen = None, 0.0, 0
     for batch in batches:
-        for payload in batch.column("payload").to_pylist():
-            c, n = decode(payload, "<i8")
-            codes.append(c >> np.uint64(64 - 21))
-            counts.append(n)
-    if codes:
-        codes, counts = np.concatenate(codes).astype(np.int64), np.concatenate(counts)
-        order = np.argsort(codes)
-        raw = b"".join(p.astype("<f4").tobytes() for p in train_nce(codes[order], counts[order].astype(float)))
-        yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["model"])
+        for k, tokens, payload in zip(*(batch.column(c).to_pylist() for c in ("slice", "tokens", "payload"))):
+            if k != own and own is not None:
+                yield _slice(own, total / seen)
+                total, seen = 0.0, 0
+            own, total, seen = k, total + np.frombuffer(payload, "<f4").astype(float) * tokens, seen + tokens
+    if own is not None:
+        yield _slice(own, total / seen)
+
+
+def _slice(k: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([values.astype("<f4").tobytes()], pa.binary())], names=["slice", "payload"])
+
+
+def trained(blocks: Blocks, words: Words, learns, tokens: int) -> bytes:
+    """The parameters after all rounds."""
+    spark = blocks.spark
+    learners = min(LEARNERS, max(1, tokens // LEARNER_TOKENS))
+    passes = max(1, min(PASSES, LEAST_TOKENS // max(tokens, 1)))
+    shared = spark.sparkContext.broadcast(words)
+    rows = stored(_units(blocks, shared, learns, learners), f"{blocks.root}/units")
+    raw = Model(words).flat.tobytes()
+    for k in range(ROUNDS if tokens else 0):
+        model = spark.sparkContext.broadcast(raw)
+        own = rows.where(F.col("round") == k).repartitionById(learners, F.col("learner")).sortWithinPartitions("learner", "block")
+        slices = _learned(own, shared, model, k, passes)
+        # as many bytes as the model has
+        found = slices.repartitionById(min(SLICES, blocks.buckets), F.col("slice") % min(SLICES, blocks.buckets)).sortWithinPartitions("slice", "learner").mapInArrow(_mean, "slice int, payload binary").collect()
+        raw = b"".join(r["payload"] for r in sorted(found, key=lambda r: r["slice"])) if found else raw
+        model.unpersist()
+    return raw
 
 
 def lm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,70 +370,38 @@ def lm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "
 
     ``learns(id)`` says of an id (the smallest integer for null) whether its documents are training documents.
     """
-    import pandas as pd
-
     blocks = Blocks(docs, "words", id_col, text_col)
     spark, buckets = blocks.spark, blocks.buckets
 
-    def words(block, payload):
+    def counted(block, payload):
         x = Tokens(payload, learns)
         yield from split(WORDS, buckets, x.keys, x.counts, x.bins)
 
-    answers = stored(answered(blocks.send(words), _merge), f"{blocks.root}/counts")
+    answers = stored(answered(blocks.send(counted), _merge), f"{blocks.root}/counts")
     totals = stored(answers.mapInArrow(_totals, "bin int, key long, n long, words long"), f"{blocks.root}/totals")
     per_bin = {r["bin"]: (r["n"], r["words"]) for r in totals.where("key is null").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()}
-    frequent = totals.where("key is not null").orderBy(F.desc("n"), "key").limit(TOP).collect()
     n_all, v_all = (sum(v[i] for v in per_bin.values()) for i in (0, 1))
-    top = np.sort(np.array([r["key"] for r in frequent], np.int64).view(np.uint64))
-    # of a bin's words those that are no units themselves
-    bin_n, bin_v = np.zeros(UNITS), np.zeros(UNITS)
-    for b, (n, v) in per_bin.items():
-        if b != 255:
-            bin_n[END + 1 + b], bin_v[END + 1 + b] = n, v
-    for r in frequent:
-        bin_n[END + 1 + r["bin"]] -= r["n"]
-        bin_v[END + 1 + r["bin"]] -= 1
-
-    def trigrams(batches):
-        """The counts of a task's blocks; UNITS ** 3 numbers at most."""
-        total = np.zeros(UNITS**3, np.int64)
-        for batch in batches:
-            for payload in batch.column("payload"):
-                x = Tokens(payload.as_buffer(), learns)
-                units = x.units(top)[x.place]
-                codes = x.contexts(units) * UNITS + units
-                total += np.bincount(codes[x.learn[x.row]], minlength=UNITS**3)
-        some = np.flatnonzero(total)
-        rows = list(split(TRIGRAMS, min(buckets, 64), some.astype(np.uint64) << np.uint64(64 - 21), total[some].astype("<i8")))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "bucket", "block", "payload"])
-
-    def summed(group):
-        parts = [decode(p, "<i8") for p in group["payload"]]
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return pd.DataFrame({"payload": [encode(keys, np.bincount(at, np.concatenate([p[1] for p in parts])).astype("<i8"))]})
-
-    counted = blocks.read().mapInArrow(tidy(trigrams), "kind int, bucket int, block long, payload binary").groupBy("bucket").applyInPandas(summed, "payload binary")
-    found = counted.repartition(1).mapInArrow(_fit, "model binary").collect()
-    if found and n_all:
-        raw = np.frombuffer(found[0]["model"], "<f4")
-        a, b = 2 * UNITS * DIM, 3 * UNITS * DIM
-        table = unit_log10(raw[:a].reshape(-1, DIM), raw[a:b].reshape(-1, DIM), raw[b:])
-    else:
-        table = np.full((UNITS**2, UNITS), -np.log10(UNITS), np.float32)
-    table = spark.sparkContext.broadcast(table)
+    # at most 1 / SHARE rows, as their shares add up to one at most
+    frequent = totals.where("key is not null").where(F.col("n") >= SHARE * n_all).select("key", "bin", "n").collect()
+    frequent.sort(key=lambda r: np.int64(r["key"]).view(np.uint64))
+    keys, bins, counts = (np.array([r[c] for r in frequent], np.int64) for c in ("key", "bin", "n"))
+    rest, kinds = (np.array([per_bin.get(b, (0, 0))[i] for b in range(BINS)], np.int64) for i in (0, 1))
+    words = Words(keys.view(np.uint64), bins, counts, rest - np.bincount(bins, counts, BINS).astype(np.int64), kinds - np.bincount(bins, minlength=BINS), per_bin.get(255, (0, 0))[0])
+    shared = spark.sparkContext.broadcast((words, trained(blocks, words, learns, n_all)))
 
     def score(batches):
-        logs = table.value.reshape(-1)
+        own, raw = shared.value
+        model = Model(own, raw)
         for batch in batches:
             for row in batch.to_pylist():
                 x = Tokens(row["payload"], learns)
-                own = [{**a, "payload": a["payload"][4 : 4 + struct.unpack_from("<I", a["payload"])[0]]} for a in row["answers"]]
-                c = answer_of(own, WORDS, "<i8").astype(float)
-                units = x.units(top)
+                found = [{**a, "payload": a["payload"][4 : 4 + struct.unpack_from("<I", a["payload"])[0]]} for a in row["answers"]]
+                c = answer_of(found, WORDS, "<i8").astype(float)
+                units = x.units(own)
                 base = np.log10((c + SMOOTH) / (n_all + SMOOTH * (v_all + 1)))
-                within = np.where(units > END, np.log10((c + SMOOTH) / (bin_n + SMOOTH * (bin_v + 1))[units]), 0.0)
+                within = own.within(units, c)
                 seq = units[x.place]
-                p = logs[x.contexts(seq) * UNITS + seq] + within[x.place]
+                p = model.log10(*contexts(seq), seq) + within[x.place]
                 n, first = np.diff(x.offsets), x.offsets[:-1]
                 known = np.add.reduceat((c > 0)[x.place].astype(np.int64), first)
                 yield pa.RecordBatch.from_arrays(

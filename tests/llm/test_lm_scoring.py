@@ -48,11 +48,62 @@ def test_base_scores_and_model(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # the model knows more than word counts
 
 
-def test_unit_probabilities_are_normalised():
-    r = np.random.default_rng(0)
-    codes = np.sort(r.choice(lm_scoring.UNITS**3, 500, replace=False))
-    table = lm_scoring.unit_log10(*lm_scoring.train_nce(codes, r.integers(1, 99, 500).astype(float)))
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
+def small_model(units=40, seed=0):
+    r = np.random.default_rng(seed)
+    bins, counts = r.integers(0, 5, units), r.integers(5, 500, units)
+    words = lm_scoring.Words(np.sort(r.integers(0, 2**63, units).astype(np.uint64)), bins, counts, r.integers(0, 9, lm_scoring.BINS), r.integers(0, 4, lm_scoring.BINS), 30)
+    seq = np.concatenate([np.append(r.integers(lm_scoring.WORD, lm_scoring.WORD + units, 9), lm_scoring.END) for _ in range(400)])
+    return words, seq
+
+
+def test_probabilities_are_those_of_the_parameters_and_add_up_to_one():
+    words, seq = small_model()
+    model = lm_scoring.Model(words)
+    model.learn(seq, 1)
+    first, second, cv, cb, uv, ub = (p.astype(float) for p in model.parts[:6])
+    units = [u for u in range(len(words.classes)) if u != lm_scoring.START]
+
+    def plain(one, two, unit):
+        """The definition, one unit at a time."""
+        h = first[one] + second[two]
+        of_class = np.exp([h @ cv[k] + cb[k] for k in range(lm_scoring.CLASSES)])
+        k = words.classes[unit]
+        mates = [u for u in units if words.classes[u] == k]
+        of_unit = {u: np.exp(h @ uv[words.place[u]] + ub[words.place[u]]) for u in mates}
+        return math.log10(of_class[k] / of_class.sum() * of_unit[unit] / sum(of_unit.values()))
+
+    one, two = lm_scoring.contexts(seq)
+    got = model.log10(one[:60], two[:60], seq[:60])
+    assert np.allclose(got, [plain(*x) for x in zip(one[:60], two[:60], seq[:60])], atol=1e-4)
+    every = model.log10(np.full(len(units), seq[3]), np.full(len(units), seq[2]), np.array(units))
+    assert math.isclose((10**every).sum(), 1, abs_tol=1e-4)
+
+
+def test_contexts_end_with_texts():
+    e, s = lm_scoring.END, lm_scoring.START
+    one, two = lm_scoring.contexts(np.array([200, 201, 202, e, e, 203, e, 204]))
+    assert one.tolist() == [s, 200, 201, 202, s, s, 203, s] and two.tolist() == [s, s, 200, 201, s, s, s, s]
+
+
+def test_training_learns_what_follows_what():
+    words, seq = small_model()
+    seq = np.concatenate([np.append(np.array([lm_scoring.WORD + (i + k) % 40 for k in range(12)]), lm_scoring.END) for i in range(800)])
+    model = lm_scoring.Model(words)
+    before = model.log10(*lm_scoring.contexts(seq), seq).mean()
+    for k in range(8):
+        model.learn(seq, k)
+    assert model.log10(*lm_scoring.contexts(seq), seq).mean() > before + 0.5
+
+
+def test_more_learners_see_all_and_units_are_bounded(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    one = {r["doc_id"]: r for r in lm_scoring.lm_scores(df, learner()).collect()}
+    monkeypatch.setattr(lm_scoring, "LEARNER_TOKENS", 10_000)
+    many = {r["doc_id"]: r for r in lm_scoring.lm_scores(df, learner()).collect()}
+    assert {i: r["base_score"] for i, r in one.items()} == {i: r["base_score"] for i, r in many.items()}
+    held = [i for i, r in one.items() if not learns(i) and r["n_tokens"] > 1]
+    assert sum(many[i]["score"] for i in held) > sum(many[i]["base_score"] for i in held)
 
 
 def test_nothing_to_learn_from_and_empty_table(spark):
