@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     nodes = clusters.select(F.col("u").alias("doc_id"), F.col("v").alias("cluster")).unionByName(clusters.select(F.col("v").alias("doc_id"), F.col("v").alias("cluster")).distinct())
     sized = some.select("print", F.col("doc_id").alias("class"), "n_shingles").join(classes, ["print", "class"]).groupBy(F.col("class").alias("doc_id")).agg(F.max("n_shingles").alias("size"))
-    sizes = nodes.join(sized, "doc_id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
+    # merged by hash: a broadcast would read the nodes as their files lie, and a large cluster lies in one
+    sizes = nodes.join(sized.hint("merge"), "doc_id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
     nodes = stored(nodes.join(sizes, "cluster").select("doc_id", "cluster", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")), f"{root}/nodes")
     # four numbers a row, so some 4 MB at most go to the documents; else both sides are shuffled
     side = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
