@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docmill.llm import fingerprints, lm_scoring, minhash_dedup, mixing, quality, quality_rules, sentencepiece_codec, sql, suffix_dedup, token_output, toxicity
 from docmill.llm.labelled import crc_remainder, remainder
+from docmill.llm.storage import spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

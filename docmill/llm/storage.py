@@ -26,6 +26,16 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: A table of fewer bytes may lie in one file that Spark cannot split, and costs little to deal out.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table over all cores; a large one as it lies."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def tidy(run: Callable) -> Callable:
     """``run(batches)`` for a task, after which the worker, which Spark keeps for other tasks, gives its free memory back."""
 

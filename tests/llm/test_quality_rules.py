@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import struct
 from collections import Counter
 
 import xxhash
@@ -9,13 +10,17 @@ from docmill.llm import quality_rules as q
 
 
 def slots(words):
-    def h(*parts):
+    def word(w):
+        return xxhash.xxh64(w.encode(), seed=42).intdigest()
+
+    def pair(*hashes):
         seed = 42
-        for p in parts:
-            seed = xxhash.xxh64(p.encode(), seed=seed).intdigest()
-        return (seed - 2**64 if seed >= 2**63 else seed) % q.BUCKETS
+        for h in hashes:
+            seed = xxhash.xxh64(struct.pack("<Q", h), seed=seed).intdigest()
+        return seed
 
-    return [h(w) for w in words] + [h(a, b) + q.BUCKETS for a, b in zip(words, words[1:])]
+    h = [word(w) for w in words]
+    return [x % q.BUCKETS for x in h] + [pair(a, b) % q.BUCKETS + q.BUCKETS for a, b in zip(h, h[1:])]
 
 
 def brute(rows, trusted):
