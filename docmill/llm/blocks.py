@@ -26,6 +26,7 @@ BLOCK_BYTES = 1 << 20
 #: Bytes of text for each hash bucket, so that what a bucket's task holds does not grow with the corpus.
 BUCKET_BYTES = 64 << 20
 BLOCK_SCHEMA = "block long, size long, payload binary"
+SUMMARY = -1
 BLOB_SCHEMA = "kind int, bucket int, block long, payload binary"
 
 
@@ -90,14 +91,19 @@ class Blocks:
 
 
 def answered(blobs: DataFrame, answer) -> DataFrame:
-    """``answer(kind, blocks, payloads)`` gives one payload for each payload of a (kind, bucket)."""
+    """``answer(kind, blocks, payloads)`` gives one payload for each payload of a (kind, bucket).
+
+    It may give a pair, of these and of a summary of the bucket, which comes as a row of the block ``SUMMARY``.
+    """
     import pandas as pd
 
     def run(group):
         kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
         group = group.sort_values("block")
-        out = answer(kind, group["block"].to_numpy(), group["payload"].tolist())
-        return pd.DataFrame({"kind": np.int32(kind), "bucket": np.int32(bucket), "block": group["block"].to_numpy(), "payload": out})
+        out, blocks = answer(kind, group["block"].to_numpy(), group["payload"].tolist()), group["block"].to_numpy()
+        if isinstance(out, tuple):
+            out, blocks = [*out[0], out[1]], np.append(blocks, SUMMARY)
+        return pd.DataFrame({"kind": np.int32(kind), "bucket": np.int32(bucket), "block": blocks, "payload": out})
 
     return blobs.groupBy("kind", "bucket").applyInPandas(run, BLOB_SCHEMA)
 

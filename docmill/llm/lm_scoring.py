@@ -26,7 +26,6 @@ text); rows with equal ids are scored each by itself; no documents give no rows;
 from __future__ import annotations
 
 import math
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.blocks import Blocks, answer_of, answered, decode, encode_answer, split, unpack
+from docmill.llm.blocks import SUMMARY, Blocks, answer_of, answered, decode, encode_answer, split, unpack
 from docmill.llm.storage import stored, tidy
 from docmill.llm.textkernel import row_of, span_hashes, utf8, word_spans
 
@@ -44,7 +43,7 @@ BINS = 126
 END, START, WORD = BINS, BINS + 1, BINS + 2
 CLASSES = BINS + 1
 SMOOTH = 0.1
-DIM, BATCH, RATE, CLASS_NOISE, UNIT_NOISE = 24, 1024, 0.1, 64, 3
+DIM, BATCH, RATE, CLASS_NOISE, UNIT_NOISE = 16, 1024, 0.15, 64, 2
 ROUNDS, LEARNER_TOKENS, LEARNERS = 4, 4_000_000, 1024
 LEAST_TOKENS, PASSES = 1_000_000, 16
 SLICES = 64
@@ -102,42 +101,44 @@ def _bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (code * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64) % BINS
 
 
-def _merge(kind: int, blocks: np.ndarray, payloads: list) -> list[bytes]:
+def _merge(kind: int, blocks: np.ndarray, payloads: list) -> tuple[list[bytes], bytes]:
     parts = [decode(p, "<u4", "u1") for p in payloads]
     keys, counts = (np.concatenate([p[i] for p in parts]) for i in range(2))
     uniq, at = np.unique(keys, return_inverse=True)
     total = np.bincount(at, counts, len(uniq)).astype("<i8")
     bounds = np.cumsum([0, *(len(p[0]) for p in parts)])
     answers = [encode_answer(total[at[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])]
-    # besides, the first block's answer carries the bucket's own sums, and what words may have the share of a unit
+    # besides, the bucket's own sums, and what words may have the share of a unit (1 / SHARE of them at most)
     bins = np.zeros(len(uniq), np.uint8)
     bins[at] = np.concatenate([p[2] for p in parts])
     seen = total > 0
     sums = np.concatenate([np.bincount(bins[seen], weights=w, minlength=256) for w in (total[seen], np.ones(int(seen.sum())))]).astype("<i8")
     top = np.flatnonzero((bins != 255) & seen & (total >= SHARE * total.sum()))
-    extra = sums.tobytes() + struct.pack("<I", len(top)) + uniq[top].astype("<u8").tobytes() + total[top].tobytes() + bins[top].tobytes()
-    return [struct.pack("<I", len(a)) + a + (extra if i == 0 else b"") for i, a in enumerate(answers)]
+    summary = sums.tobytes() + uniq[top].astype("<u8").tobytes() + total[top].tobytes() + bins[top].tobytes()
+    return answers, summary
 
 
-def _totals(batches):
-    """From the answers: for each bin its words and their count (key null), and the candidates for frequent words."""
+def _sums(batches):
+    """From the buckets' summaries: for each bin its words and their count."""
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
+        total = np.zeros((2, 256), np.int64)
         for raw in batch.column("payload").to_pylist():
-            at = 4 + struct.unpack_from("<I", raw)[0]
-            if len(raw) == at:
-                continue
-            sums = np.frombuffer(raw, "<i8", 512, at)
-            for b in np.flatnonzero(sums[256:]).tolist():
-                for column, value in zip(out, (b, None, int(sums[b]), int(sums[256 + b]))):
-                    column.append(value)
-            at += 4096
-            n = struct.unpack_from("<I", raw, at)[0]
-            keys, counts, bins = np.frombuffer(raw, "<i8", n, at + 4), np.frombuffer(raw, "<i8", n, at + 4 + 8 * n), np.frombuffer(raw, "u1", n, at + 4 + 16 * n)
-            for row in zip(bins.tolist(), keys.tolist(), counts.tolist(), [1] * n):
-                for column, value in zip(out, row):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["bin", "key", "n", "words"])
+            total += np.frombuffer(raw, "<i8", 512).reshape(2, 256)
+        some = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[0][some]), pa.array(total[1][some])], names=["bin", "n", "words"])
+
+
+def _frequent(least: float):
+    def run(batches):
+        """From the buckets' summaries: the words with a count of ``least`` or more."""
+        for batch in batches:
+            for raw in batch.column("payload").to_pylist():
+                n = (len(raw) - 4096) // 17
+                keys, counts, bins = np.frombuffer(raw, "<i8", n, 4096), np.frombuffer(raw, "<i8", n, 4096 + 8 * n), np.frombuffer(raw, "u1", n, 4096 + 16 * n)
+                some = counts >= least
+                yield pa.RecordBatch.from_arrays([pa.array(bins[some], pa.int32()), pa.array(keys[some]), pa.array(counts[some])], names=["bin", "key", "n"])
+
+    return run
 
 
 class Words:
@@ -180,13 +181,12 @@ class Model:
             at += math.prod(shape)
         unigram = words.counts[words.members] + 0.5
         by_class = np.add.reduceat(unigram, words.bounds[:-1])
-        self.class_share, self.unit_share = by_class / by_class.sum(), unigram / np.repeat(by_class, np.diff(words.bounds))
-        self.noise = np.cumsum(unigram)
+        self.class_share, unit_share = by_class / by_class.sum(), unigram / np.repeat(by_class, np.diff(words.bounds))
         if raw is None:
             r = np.random.default_rng(7)
             for part in (self.parts[0], self.parts[1], self.parts[2], self.parts[4]):
                 part[:] = r.normal(0, 0.1, part.shape)
-            self.parts[3][:], self.parts[5][:] = np.log(self.class_share), np.log(self.unit_share)
+            self.parts[3][:], self.parts[5][:] = np.log(self.class_share), np.log(unit_share)
             for part in self.parts[6:]:
                 part[:] = 1.0
 
@@ -195,31 +195,31 @@ class Model:
         r = np.random.default_rng(seed)
         one, two = contexts(units)
         classes, places = self.words.classes[units], self.words.place[units]
-        class_kq, unit_kq = np.log(CLASS_NOISE * self.class_share).astype(np.float32), np.log(UNIT_NOISE * self.unit_share).astype(np.float32)
-        class_cdf = np.cumsum(self.class_share)
-        low = np.concatenate([[0.0], self.noise])[self.words.bounds]
-        order, eye = r.permutation(len(units)), np.eye(CLASSES, dtype=np.float32)
+        class_kq = np.log(CLASS_NOISE * self.class_share).astype(np.float32)
+        class_cdf, bounds = np.cumsum(self.class_share), self.words.bounds
+        size = np.diff(bounds).astype(np.float32)
+        unit_kq = np.log(UNIT_NOISE / size)
+        order = r.permutation(len(units))
         first, second, cv, cb, uv, ub, sq1, sq2, sqc, squ = self.parts
         for k in range(0, len(order), BATCH):
             at = order[k : k + BATCH]
-            a, b, c, u = one[at], two[at], classes[at], places[at]
+            a, b, c = one[at], two[at], classes[at]
             hidden = first[a] + second[b]
             # a data row should be told from noise classes, drawn for the whole batch, and those from data
             drawn = np.minimum(np.searchsorted(class_cdf, r.random(CLASS_NOISE), side="right"), CLASSES - 1)
-            right = _sigmoid(np.einsum("nd,nd->n", hidden, cv[c]) + cb[c] - class_kq[c]) - 1
+            right = _sigmoid(np.einsum("nd,nd->n", hidden, cv[c]) + (cb - class_kq)[c]) - 1
             wrong = _sigmoid(hidden @ cv[drawn].T + (cb - class_kq)[drawn])
             g_hidden = right[:, None] * cv[c] + wrong @ cv[drawn]
-            g_class = np.zeros((CLASSES, DIM + 1), np.float32)
-            onehot = np.zeros((len(at), CLASSES), np.float32)
-            onehot[np.arange(len(at)), c] = right
-            onehot += wrong @ eye[drawn]
-            g_class[:, :DIM], g_class[:, DIM] = onehot.T @ hidden, onehot.sum(0)
-            # and its unit from noise units of its class
-            x = low[c, None] + r.random((len(at), UNIT_NOISE)) * (low[c + 1] - low[c])[:, None]
-            noise = np.minimum(np.searchsorted(self.noise, x.reshape(-1), side="right"), len(ub) - 1)
-            pick = np.concatenate([u[:, None], noise.reshape(x.shape)], axis=1)
+            g_class = np.empty((len(at) + CLASS_NOISE, DIM + 1), np.float32)
+            np.multiply(hidden, right[:, None], out=g_class[: len(at), :DIM])
+            np.matmul(wrong.T, hidden, out=g_class[len(at) :, :DIM])
+            g_class[: len(at), DIM], g_class[len(at) :, DIM] = right, wrong.sum(0)
+            # and its unit from others of its class, drawn evenly
+            pick = np.empty((len(at), 1 + UNIT_NOISE), np.int64)
+            pick[:, 0] = places[at]
+            pick[:, 1:] = bounds[c][:, None] + (r.random((len(at), UNIT_NOISE), np.float32) * size[c][:, None]).astype(np.int64)
             vectors = uv[pick]
-            g = _sigmoid(np.einsum("nkd,nd->nk", vectors, hidden) + (ub - unit_kq)[pick])
+            g = _sigmoid(np.einsum("nkd,nd->nk", vectors, hidden) + ub[pick] - unit_kq[c][:, None])
             g[:, 0] -= 1
             g_hidden += np.einsum("nk,nkd->nd", g, vectors)
             g_unit = np.empty((*g.shape, DIM + 1), np.float32)
@@ -228,10 +228,7 @@ class Model:
             _step(first, None, sq1, a, g_hidden)
             _step(second, None, sq2, b, g_hidden)
             _step(uv, ub, squ, pick.reshape(-1), g_unit.reshape(-1, DIM + 1))
-            sqc += (g_class * g_class).mean(1)
-            g_class *= (RATE / np.sqrt(sqc))[:, None]
-            cv -= g_class[:, :DIM]
-            cb -= g_class[:, DIM]
+            _step(cv, cb, sqc, np.concatenate([c, drawn]), g_class)
 
     def log10(self, one: np.ndarray, two: np.ndarray, units: np.ndarray) -> np.ndarray:
         """log10 of p(class, unit | context) of tokens, normalised over all classes and over all units of the class."""
@@ -265,8 +262,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(1)
-    return np.log(np.exp(logits - top[:, None]).sum(1)) + top
+    """The logarithm of each row's sum of exponentials."""
+    top = logits.max(initial=0.0)
+    total = np.exp(logits - top) @ np.ones(logits.shape[1], logits.dtype)
+    out = np.log(np.maximum(total, np.float32(1e-38))) + top
+    low = np.flatnonzero(total < 1e-30)  # rows far below the largest
+    if len(low):
+        own = logits[low].max(1)
+        out[low] = np.log(np.exp(logits[low] - own[:, None]).sum(1)) + own
+    return out
 
 
 def _step(vectors: np.ndarray, bias: np.ndarray | None, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
@@ -378,11 +382,11 @@ def lm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "
         yield from split(WORDS, buckets, x.keys, x.counts, x.bins)
 
     answers = stored(answered(blocks.send(counted), _merge), f"{blocks.root}/counts")
-    totals = stored(answers.mapInArrow(_totals, "bin int, key long, n long, words long"), f"{blocks.root}/totals")
-    per_bin = {r["bin"]: (r["n"], r["words"]) for r in totals.where("key is null").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()}
+    summaries, answers = answers.where(F.col("block") == SUMMARY), answers.where(F.col("block") != SUMMARY)
+    per_bin = {r["bin"]: (r["n"], r["words"]) for r in summaries.mapInArrow(_sums, "bin int, n long, words long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()}
     n_all, v_all = (sum(v[i] for v in per_bin.values()) for i in (0, 1))
     # at most 1 / SHARE rows, as their shares add up to one at most
-    frequent = totals.where("key is not null").where(F.col("n") >= SHARE * n_all).select("key", "bin", "n").collect()
+    frequent = summaries.mapInArrow(_frequent(SHARE * n_all), "bin int, key long, n long").collect()
     frequent.sort(key=lambda r: np.int64(r["key"]).view(np.uint64))
     keys, bins, counts = (np.array([r[c] for r in frequent], np.int64) for c in ("key", "bin", "n"))
     rest, kinds = (np.array([per_bin.get(b, (0, 0))[i] for b in range(BINS)], np.int64) for i in (0, 1))
@@ -395,8 +399,7 @@ def lm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for row in batch.to_pylist():
                 x = Tokens(row["payload"], learns)
-                found = [{**a, "payload": a["payload"][4 : 4 + struct.unpack_from("<I", a["payload"])[0]]} for a in row["answers"]]
-                c = answer_of(found, WORDS, "<i8").astype(float)
+                c = answer_of(row["answers"], WORDS, "<i8").astype(float)
                 units = x.units(own)
                 base = np.log10((c + SMOOTH) / (n_all + SMOOTH * (v_all + 1)))
                 within = own.within(units, c)
