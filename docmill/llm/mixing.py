@@ -47,8 +47,9 @@ def topics(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return topic, n
 
 
-def rake(mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
-    """Factors of cells that bring the masses' margins to the targets (shares of each category, by its code)."""
+def rake(mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Factors of cells that bring the masses' margins to the targets (shares of each category, by its code), and the largest
+    difference of shares that is left: near 0, or more if no weights of these cells meet all targets."""
     factor, total = np.ones(len(mass)), mass.sum()
     for _ in range(ROUNDS):
         worst = 0.0

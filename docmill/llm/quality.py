@@ -4,9 +4,10 @@ Two zstandard dictionaries are trained, on good and on bad labelled text.  A tex
 is compressed by itself with either dictionary, so that the dictionaries matter as much in a long text as in a short one.  The
 normalised difference of the summed sizes, (bad - good) / (bad + good), and the sizes relative to the text's own give a
 probability by logistic calibration.  The dictionaries learn from one half of at most ``BOUND`` labelled documents of either
-class (a documented bound), the calibration from the other half.  All documents are scored by their whole texts.
+class (a documented bound), all of whose pieces are used, the calibration from the other half.  All documents are scored by their
+whole texts.
 
-Defined cases: null is an empty text; an empty text scores by the class rates alone; without labelled documents of both
+Defined cases: null is an empty text; a text of any length is scored whole, piece by piece; an empty text scores by the class rates alone; without labelled documents of both
 classes all scores are 0.5; rows with equal ids are scored each by itself; columns beside id and text are not looked at.
 """
 
@@ -29,8 +30,6 @@ PIECE = 512
 LEVEL = 1
 DICTIONARY_BYTES = 128 << 10
 BOUND = 4000
-#: Pieces of a training text, evenly spread, that the dictionaries learn from.
-PIECES = 8
 
 
 class Sizes:
@@ -39,7 +38,7 @@ class Sizes:
     def __init__(self, dictionaries: list[bytes]):
         self.compressors = []
         for raw in dictionaries:
-            d = zstandard.ZstdCompressionDict(raw) if raw else None
+            d = zstandard.ZstdCompressionDict(raw) if len(raw) >= 8 else None
             if d is not None:
                 d.precompute_compress(level=LEVEL)
             self.compressors.append(zstandard.ZstdCompressor(level=0 if d is not None else LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
@@ -55,16 +54,16 @@ class Sizes:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    pieces = []
-    for text in texts:
-        own = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
-        pieces += [own[k * len(own) // PIECES] for k in range(PIECES)] if len(own) > PIECES else own
-    for size in (DICTIONARY_BYTES, 8 << 10, 1 << 10):
+    """Of all pieces: trained, with a sixteenth of their bytes up to ``DICTIONARY_BYTES``, or, of so little text that there is
+    nothing to choose from, the distinct pieces themselves (as zstandard takes bytes that are no trained dictionary)."""
+    pieces = [text[i : i + PIECE] for text in texts for i in range(0, len(text), PIECE)]
+    size = min(DICTIONARY_BYTES, sum(map(len, pieces)) // 16)
+    if size >= 1024:
         try:
             return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:  # too little text for a dictionary of that size
-            continue
-    return b""
+        except zstandard.ZstdError:  # too few different pieces
+            pass
+    return b"".join(dict.fromkeys(pieces))[-DICTIONARY_BYTES:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
