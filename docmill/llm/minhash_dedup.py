@@ -213,6 +213,11 @@ def _confirm(percent: int):
     return run
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers for a join: to all tasks if some 4 MB hold them, else both sides are shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (least id reachable by links) and kept (it is that id)."""
     spark = docs.sparkSession
@@ -232,11 +237,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sized = some.select("print", F.col("doc_id").alias("class"), "n_shingles").join(classes, ["print", "class"]).groupBy(F.col("class").alias("doc_id")).agg(F.max("n_shingles").alias("size"))
     # merged by hash: a broadcast would read the nodes as their files lie, and a large cluster lies in one
     sizes = nodes.join(sized.hint("merge"), "doc_id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
-    nodes = stored(nodes.join(sizes, "cluster").select("doc_id", "cluster", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")), f"{root}/nodes")
-    # four numbers a row, so some 4 MB at most go to the documents; else both sides are shuffled
-    side = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    # clusters of one part, nearly all, need no number; of the others there is one for hundreds of nodes
+    large = stored(sizes.where("parts > 1"), f"{root}/large")
+    nodes = nodes.join(_few(large), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    nodes = stored(nodes.select("doc_id", "cluster", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")), f"{root}/nodes")
     own = F.col("part")
-    sent = rows.join(side, "doc_id").where("text is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sent = rows.join(_few(nodes), "doc_id").where("text is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     sent = sent.select("cluster", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), own, "doc_id", "text", "parts")
     # the pairs of a cluster's parts, one after the other, go round the partitions in turn
     n = partitions(spark)
