@@ -7,18 +7,19 @@ longest common extension of two places is found by binary search (``Prefix.exten
 A fingerprint is a string with three parts, all read off the prefix arrays:
 
 * the number of code points and the hash of the whole text (equal texts have equal fingerprints);
-* a *ladder* of hashes of the prefixes of 1, 2, 3, 4, 6, 8, 12, ... code points: the common prefix of two texts is found from
-  their fingerprints by binary search over the rungs;
+* a *ladder* of hashes of the prefixes of 1, 2, 3, 4, 6, 8, 12, ... code points;
 * a *sketch* of the hashes of all spans of ``SPAN`` code points: the least of each of ``BINS`` classes.
 
-The likeness of two fingerprints is 1 for equal whole hashes, else the larger of two shares: of code points in the common prefix
-(by the ladder, a lower bound), and of spans in common (by the sketch, an estimate of twice the common over all).
+The likeness of two texts is the share of their code points, of both together, that stand in common stretches.  Stretches grow out
+of *seeds*: both texts' beginnings, their ends, and the places of spans that both sketches hold.  From a seed, the longest common
+extension to either side is found by binary search over the prefix arrays, so what counts as common is settled by hashes of whole
+stretches; the sketch only says where to look.  ``likeness`` estimates the same from two stored fingerprints alone.
 
 Order: documents descend by id, and the next one after the last is the first.  Ranges of ids become partitions by id itself
 (``repartitionById``); a range needs only the first document of the next one besides its own.
 
 Defined cases: null is an empty text, whose fingerprint is like no other's but an empty text's; a text under ``SPAN`` code points
-is one span; rows with equal ids stand in the order of their texts, null ids last; a single row is next to itself; no rows give
+is one span; a text of any length is fingerprinted whole, in a run of its own if it is long; rows with equal ids stand in the order of their texts, null ids last; a single row is next to itself; no rows give
 no rows; other columns are not looked at.
 """
 
@@ -100,6 +101,16 @@ class Prefix:
             high = np.where(open_ & ~equal, middle - 1, high)
         return low
 
+    def before(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The longest common stretch that ends before places a and b, up to ``most`` code points."""
+        low, high = np.zeros_like(most), most.copy()
+        while (open_ := low < high).any():
+            middle = (low + high + 1) // 2
+            equal = self.hash(a - middle, a) == self.hash(b - middle, b)
+            low = np.where(open_ & equal, middle, low)
+            high = np.where(open_ & ~equal, middle - 1, high)
+        return low
+
 
 RUNGS = np.unique([r for k in range(62) for r in (1 << k, 3 << k >> 1)])[0:]
 
@@ -109,7 +120,7 @@ class Prints:
 
     def __init__(self, points: np.ndarray, offsets: np.ndarray):
         prefix, a, z = Prefix(points), offsets[:-1], offsets[1:]
-        self.size = z - a
+        self.prefix, self.a, self.z, self.size = prefix, a, z, z - a
         self.whole = prefix.hash(a, z)
         rungs = np.searchsorted(RUNGS, self.size, side="right")
         which = np.arange(int(rungs.sum())) - np.repeat(np.cumsum(rungs) - rungs, rungs)
@@ -120,16 +131,42 @@ class Prints:
         row = np.repeat(np.arange(len(a)), spans)
         start = np.arange(int(spans.sum())) + np.repeat(a - (np.cumsum(spans) - spans), spans)
         h = mix(prefix.one(0, start, np.minimum(start + SPAN, z[row])) + np.uint64(1))
-        self.sketch = np.full(len(a) * BINS, EMPTY, np.uint32)
-        np.minimum.at(self.sketch, row * BINS + (h >> np.uint64(58)).astype(np.int64), (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
-        self.sketch = self.sketch.reshape(-1, BINS)
+        # the least hash of each class, and the first place that has it
+        least = np.full(len(a) * BINS, np.uint64(EMPTY) << np.uint64(32), np.uint64)
+        np.minimum.at(least, row * BINS + (h >> np.uint64(58)).astype(np.int64), (h & np.uint64(0xFFFFFFFE)) << np.uint64(32) | start.astype(np.uint64))
+        self.sketch = (least >> np.uint64(32)).astype(np.uint32).reshape(-1, BINS)
+        self.places = (least & np.uint64(0xFFFFFFFF)).astype(np.int64).reshape(-1, BINS)
+
+    def likeness(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(likeness, code points of the common prefix) of pairs of texts; no text may be in a list more than once."""
+        pair, bin_ = np.nonzero((self.sketch[one] == self.sketch[two]) & (self.sketch[one] != EMPTY))
+        every = np.arange(len(one))
+        pair = np.concatenate([every, every, pair])
+        a = np.concatenate([self.a[one], self.z[one], self.places[one[pair[2 * len(one) :]], bin_]])
+        b = np.concatenate([self.a[two], self.z[two], self.places[two[pair[2 * len(one) :]], bin_]])
+        of_a, of_b = one[pair], two[pair]
+        after = self.prefix.extension(a, b, np.minimum(self.z[of_a] - a, self.z[of_b] - b))
+        back = self.prefix.before(a, b, np.minimum(a - self.a[of_a], b - self.a[of_b]))
+        common = sum(np.bincount(pair, self._covered(x - back, x + after), len(one)) for x in (a, b))
+        total = self.size[one] + self.size[two]
+        return np.where(total > 0, common / np.maximum(total, 1), 1.0), after[: len(one)]
+
+    @staticmethod
+    def _covered(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of each stretch what no stretch before it (in the order of starts) covers."""
+        order = np.argsort(starts, kind="stable")
+        done = np.maximum.accumulate(np.append(0, ends[order][:-1]))
+        out = np.empty(len(starts), np.int64)
+        out[order] = np.maximum(ends[order] - np.maximum(starts[order], done), 0)
+        return out
 
     def text(self, i: int) -> str:
         return f"{self.size[i]:x}.{self.whole[i]:016x}.{self.rungs[self.rung_at[i] : self.rung_at[i + 1]].astype('>u4').tobytes().hex()}.{self.sketch[i].astype('>u4').tobytes().hex()}"
 
 
 def likeness(one: str, two: str) -> float:
-    """Of two fingerprints, from 0 to 1."""
+    """Of two stored fingerprints, from 0 to 1: an estimate, the larger of the shares of the common prefix (by the ladder, a
+    lower bound) and of common spans (by the sketch)."""
     (n, whole, rungs, sketch), (m, other, rungs2, sketch2) = one.split("."), two.split(".")
     n, m = int(n, 16), int(m, 16)
     if n == m and whole == other:
@@ -158,25 +195,25 @@ def _concatenated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows(ids: list, texts: list[str]) -> pa.RecordBatch:
     """The result for all texts but the last, which is only the next one of the one before."""
-    points = [_points(t) for t in texts]
+    points, n = [_points(t) for t in texts], len(texts) - 1
     edited = [np.concatenate([p[: len(p) - len(p) // 2], q[: len(p) // 2]]) for p, q in zip(points[:-1], points[1:])]
-    own, changed = Prints(*_concatenated(points)), Prints(*_concatenated(edited))
-    prints, others = [own.text(i) for i in range(len(texts))], [changed.text(i) for i in range(len(edited))]
+    run = Prints(*_concatenated(points + edited))
+    own = np.arange(n)
+    (near_edited, prefix_edited), (near_next, prefix_next) = run.likeness(own, n + 1 + own), run.likeness(own, own + 1)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([None if i == NULL_ID else i for i in ids[:-1]], pa.int64()),
             pa.array([len(p) for p in points[:-1]], pa.int64()),
             pa.array([hashlib.sha256(e.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest() for e in edited], pa.string()),
-            pa.array(prints[:-1], pa.string()),
-            pa.array(others, pa.string()),
-            pa.array([likeness(a, b) for a, b in zip(prints, others)], pa.float64()),
-            pa.array([likeness(a, b) for a, b in zip(prints[:-1], prints[1:])], pa.float64()),
+            pa.array([run.text(i) for i in range(n)], pa.string()),
+            pa.array([run.text(n + 1 + i) for i in range(n)], pa.string()),
+            *(pa.array(x) for x in (near_edited, near_next, prefix_edited, prefix_next)),
         ],
-        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "prefix_edited", "prefix_next"],
     )
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, prefix_edited long, prefix_next long"
 
 
 def _fingerprint(batches):
@@ -198,7 +235,8 @@ def _fingerprint(batches):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row its fingerprint, the edited text's, and their likeness; see the module."""
+    """For each row its fingerprint, the edited text's, its text's likeness to the edited and to the next one, and the code points
+    that they have in common from their beginnings on; see the module."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = partitions(spark)
