@@ -62,7 +62,7 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(documents(spark, sf_dir)).select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "weight", "probability", "sampled")
+    return mixing.mixed(documents(spark, sf_dir)).select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "weight", "probability", "sampled", "margin_gap")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
