@@ -32,7 +32,7 @@ SMALL_BYTES = 64 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a small table over all cores; a large one as it lies."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 
