@@ -54,10 +54,10 @@ class Sizes:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Of all pieces: trained, with a sixteenth of their bytes up to ``DICTIONARY_BYTES``, or, of so little text that there is
+    """Of all pieces: trained, with a quarter of their bytes up to ``DICTIONARY_BYTES``, or, of so little text that there is
     nothing to choose from, the distinct pieces themselves (as zstandard takes bytes that are no trained dictionary)."""
     pieces = [text[i : i + PIECE] for text in texts for i in range(0, len(text), PIECE)]
-    size = min(DICTIONARY_BYTES, sum(map(len, pieces)) // 16)
+    size = min(DICTIONARY_BYTES, sum(map(len, pieces)) // 4)
     if size >= 1024:
         try:
             return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
