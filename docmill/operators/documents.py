@@ -22,9 +22,9 @@ def set_field(docs: DataFrame, name: str, value: Column) -> DataFrame:
     return docs.withColumn("fields", present(F.map_concat(others, F.create_map(F.lit(name), value.cast("string")))))
 
 
-def to_json(docs: DataFrame) -> DataFrame:
-    """(doc_id, json) with the fields under ``Fields``, indented."""
-    return docs.select("doc_id", F.to_json(F.struct(F.col("fields").alias("Fields")), {"pretty": "true"}).alias("json"))
+def to_json(docs: DataFrame, pretty: bool = True) -> DataFrame:
+    """(doc_id, json) with the fields under ``Fields``, indented or without white space."""
+    return docs.select("doc_id", F.to_json(F.struct(F.col("fields").alias("Fields")), {"pretty": str(pretty).lower()}).alias("json"))
 
 
 def field_terms(docs: DataFrame, *more: str) -> DataFrame:

@@ -27,9 +27,19 @@ def postings(chunks: DataFrame) -> DataFrame:
     return field_terms(chunks, "chunk_id").select("field", fold(F.col("term")).alias("term_key"), "term", "chunk_id").distinct()
 
 
-def posting_lists(index: DataFrame) -> DataFrame:
-    """(field, term, postings): the ascending chunks of each term."""
-    return index.groupBy("field", "term").agg(F.sort_array(F.collect_set("chunk_id")).alias("postings"))
+#: Chunk numbers that one posting list spans, so that the list of a common term is many rows of bounded size.
+SPAN = 1 << 16
+
+
+def posting_lists(index: DataFrame, span: int = SPAN) -> DataFrame:
+    """(field, term, part, postings): the ascending chunks of each term, a row for each ``span`` of chunk numbers."""
+    part = F.floor(F.col("chunk_id") / span).cast("long").alias("part")
+    return index.groupBy("field", "term", part).agg(F.sort_array(F.collect_set("chunk_id")).alias("postings"))
+
+
+def posting_ends(index: DataFrame) -> DataFrame:
+    """(field, term, n_chunks, first_chunk, last_chunk) without the lists."""
+    return index.select("field", "term", "chunk_id").distinct().groupBy("field", "term").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
 
 
 def posting_lengths(index: DataFrame) -> DataFrame:

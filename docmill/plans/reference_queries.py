@@ -100,8 +100,13 @@ def inverted_index(spark, sf_dir):
 
 
 def posting_list_ends(spark, sf_dir):
-    lists = index.posting_lists(full_index(spark, sf_dir))
-    return lists.select("field", "term", F.size("postings").cast("long").alias("n_chunks"), F.element_at("postings", 1).alias("first_chunk"), F.element_at("postings", -1).alias("last_chunk"))
+    return index.posting_ends(full_index(spark, sf_dir))
+
+
+def posting_list_entries(spark, sf_dir):
+    """The lists themselves, unfolded: every entry with its place."""
+    lists = index.posting_lists(full_index(spark, sf_dir), span=2)
+    return lists.select("field", "term", "part", F.posexplode("postings").alias("place", "chunk_id"))
 
 
 def posting_lengths(spark, sf_dir):
@@ -218,6 +223,7 @@ _SQL = {
     set_field_value: "SELECT doc_id, 'lang' AS field, 'xx' AS term FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents WHERE source IS NOT NULL UNION ALL SELECT doc_id, 'doc', CAST(doc_id AS VARCHAR) FROM documents",
     inverted_index: _CHUNKS + "SELECT field, term, chunk_id FROM i",
     posting_list_ends: _CHUNKS + "SELECT field, term, count(*) AS n_chunks, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk FROM i GROUP BY field, term",
+    posting_list_entries: _CHUNKS + "SELECT field, term, chunk_id // 2 AS part, CAST(row_number() OVER (PARTITION BY field, term, chunk_id // 2 ORDER BY chunk_id) - 1 AS INTEGER) AS place, chunk_id FROM i",
     posting_lengths: _CHUNKS + "SELECT field, term, count(*) AS n_chunks FROM i GROUP BY field, term",
     term_counts_per_field: _CHUNKS + "SELECT field, count(DISTINCT term) AS n_terms FROM i GROUP BY field",
     index_fields: _CHUNKS + "SELECT DISTINCT field FROM i",

@@ -3,26 +3,44 @@
 Layout below ``root``:
 
     log/batch=NAME/                     documents of one accepted batch (doc_id, fields)
+    accepted/batch=NAME                 names of batches that the log no longer holds
     data/segment=N/                     documents of full chunks (chunk_id, doc_id, fields)
     postings/segment=N/field=NAME/      the segment's index (term_key, term, chunk_id), sorted by term_key
+    writer                              is there while a writer is at work
 
 A batch is accepted when its folder is committed, and searches see it from then on: what is not in ``data`` yet is the tail, and
 is scanned.  ``commit`` moves the tail's full chunks into a new segment, postings first: a failure between the two leaves
-postings without data, which searches don't mind and the next commit overwrites.  One writer at a time.
+postings without data, which searches don't mind and the next commit overwrites.  A second writer at the same time is refused
+(``StoreLocked``); readers need no lock, as folders appear whole.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.functions import instruments
+from docmill.functions.instruments import counted, timed
 from docmill.functions.numbering import numbered
 from docmill.functions.storage import partitions
 from docmill.operators import index, search
 from docmill.operators.documents import present
 
+#: Bytes from which on a checkpoint truncates the log.
+LOG_BYTES = 10 << 20
+#: A writer that is older has died.
+LOCK_SECONDS = 3600
+
+
+class StoreLocked(RuntimeError):
+    """Another writer is at work."""
+
+
 DOCUMENT = "doc_id long, fields map<string,string>"
 
 
@@ -69,44 +87,95 @@ class DocumentStore:
     def replay_after(self, doc_id: int) -> DataFrame:
         return self.log().where(F.col("doc_id") > doc_id).select("doc_id", "fields")
 
+    @contextmanager
+    def _writing(self) -> Iterator[None]:
+        fs, path = self._path("writer")
+        if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > LOCK_SECONDS:
+            fs.delete(path, False)
+        fs.mkdirs(path.getParent())
+        if not _created(fs, path):
+            raise StoreLocked(f"{self.root} has a writer")
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
+
+    def _accepted(self, name: str) -> bool:
+        fs, path = self._path(f"accepted/batch={name}")
+        return fs.exists(path) or name in self._folders("log", "batch")
+
     def add(self, fields: DataFrame, batch: str | None = None) -> str:
-        """Accepts the maps in column ``fields`` as one batch, with the next ids.  A batch that is there already isn't added again."""
+        """Accepts the maps in column ``fields`` as one batch, with the next ids.  A batch that was accepted isn't added again."""
         name = batch or uuid.uuid4().hex
-        if name not in self._folders("log", "batch"):
-            rows = numbered(fields.select(present(F.col("fields")).alias("fields")), "doc_id", start=self.last_id() + 1)
-            rows.select("doc_id", "fields").write.mode("overwrite").option("compression", "gzip").parquet(f"{self.root}/log/batch={name}")
+        with self._writing(), timed(instruments.LOG_COMMIT):
+            if not self._accepted(name):
+                rows = numbered(fields.select(present(F.col("fields")).alias("fields")), "doc_id", start=self.last_id() + 1)
+                rows.select("doc_id", "fields").write.mode("overwrite").option("compression", "gzip").parquet(f"{self.root}/log/batch={name}")
         return name
 
     def commit(self) -> int:
         """Moves the tail's full chunks into a new segment; the number of chunks moved."""
-        data = self.data()
-        first = data.agg(F.coalesce(F.max("chunk_id") + 1, F.lit(0))).first()[0]
-        rows = index.chunked(self.tail(), first=first).where("full").drop("full")
-        chunks = rows.select("chunk_id").distinct().count()
-        if chunks:
-            segment = f"{self.next_segment():08d}"
-            found = index.postings(rows).repartition(partitions(self.spark), "field", "term_key").sortWithinPartitions("field", "term_key")
-            found.write.mode("overwrite").partitionBy("field").parquet(f"{self.root}/postings/segment={segment}")
-            rows.select("chunk_id", "doc_id", "fields").sortWithinPartitions("chunk_id").write.mode("overwrite").option("compression", "gzip").parquet(f"{self.root}/data/segment={segment}")
+        with self._writing():
+            with timed(instruments.ADD_TERM):
+                first = self.data().agg(F.coalesce(F.max("chunk_id") + 1, F.lit(0))).first()[0]
+                rows = index.chunked(self.tail(), first=first).where("full").drop("full")
+                chunks = rows.select("chunk_id").distinct().count()
+            if chunks:
+                segment = f"{self.next_segment():08d}"
+                with timed(instruments.COMMIT_INDEX):
+                    found = index.postings(rows).repartition(partitions(self.spark), "field", "term_key").sortWithinPartitions("field", "term_key")
+                    found.write.mode("overwrite").partitionBy("field").parquet(f"{self.root}/postings/segment={segment}")
+                with timed(instruments.DATA_COMMIT):
+                    rows.select("chunk_id", "doc_id", "fields").sortWithinPartitions("chunk_id").write.mode("overwrite").option("compression", "gzip").parquet(f"{self.root}/data/segment={segment}")
         return chunks
 
     def next_segment(self) -> int:
         return max(map(int, self._folders("data", "segment")), default=0) + 1
 
     def truncate(self) -> list[str]:
-        """Drops the log's batches that are wholly in chunks; their names.  The last batch stays."""
-        done, last = index.last_number(self.data(), "doc_id"), self.last_id()
-        ends = self.log().groupBy("batch").agg(F.max("doc_id").alias("last")).where((F.col("last") <= done) & (F.col("last") < last)).collect()
-        for r in ends:
-            fs, path = self._path(f"log/batch={r['batch']}")
-            fs.delete(path, True)
+        """Drops the log's batches that are wholly in chunks; their names, which stay known.  The last batch stays."""
+        with self._writing(), timed(instruments.LOG_TRUNCATE):
+            done, last = index.last_number(self.data(), "doc_id"), self.last_id()
+            ends = self.log().groupBy("batch").agg(F.max("doc_id").alias("last")).where((F.col("last") <= done) & (F.col("last") < last)).collect()
+            for r in ends:
+                fs, mark = self._path(f"accepted/batch={r['batch']}")
+                fs.mkdirs(mark.getParent())
+                _created(fs, mark)
+                fs.delete(self._path(f"log/batch={r['batch']}")[1], True)
         return sorted(r["batch"] for r in ends)
 
+    def checkpoint(self, least: int = LOG_BYTES) -> list[str]:
+        """Truncates a log of ``least`` bytes or more."""
+        fs, path = self._path("log")
+        return self.truncate() if fs.exists(path) and fs.getContentSummary(path).getLength() >= least else []
+
     def chunk(self, chunk_id: int) -> DataFrame:
         return self.data().where(F.col("chunk_id") == chunk_id).select("doc_id", "fields")
 
+    def candidates(self, field: str, term: str) -> DataFrame:
+        """Chunks that the index names, for an equality on folder and sorted key."""
+        return index.candidates(self.postings(), field, term)
+
     def search(self, field: str, term: str) -> DataFrame:
-        return search.indexed(self.data(), self.postings(), self.tail(), field, term)
+        with timed(instruments.SEARCH_INDEX):
+            found = search.indexed(self.data(), self.postings(), self.tail(), field, term)
+        return counted(found, instruments.GREP_FILTER)
+
+    def hits(self, field: str, term: str) -> int:
+        """The number of matches, in a timed scope of its own."""
+        found = self.search(field, term)
+        with timed(instruments.GREP_FILTER):
+            return found.count()
 
     def search_tail(self, predicate) -> DataFrame:
         return self.tail().where(predicate)
+
+
+def _created(fs, path) -> bool:
+    """Makes an empty file unless it is there: one of several that try succeeds."""
+    try:
+        return bool(fs.createNewFile(path))
+    except Exception:  # some file systems raise where the file is there
+        if fs.exists(path):
+            return False
+        raise

@@ -1,12 +1,17 @@
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from docmill.functions import instruments
 from docmill.functions.folding import fold
 from docmill.functions.numbering import numbered
+from docmill.functions.storage import clean, shared_root, stored
 from docmill.operators import index, search
 from docmill.operators.documents import documents, field_terms, set_field
 from docmill.sources.generator import generated
-from docmill.sources.store import DocumentStore
+from docmill.sources.store import DocumentStore, StoreLocked
 from docmill.streaming.ingest import ingest
 
 
@@ -104,3 +109,89 @@ def test_batch_search_counts_hits(spark):
     rows = docs(spark, 20)
     asked = spark.createDataFrame([("a", "name", "NAME1"), ("b", "name", "zzz"), ("c", "value", "V4")], "query_id string, field string, term string")
     assert sorted(map(tuple, search.hit_counts(search.batch(rows, asked), asked).collect())) == [("a", 3), ("b", 0), ("c", 1)]
+
+
+def test_a_second_writer_is_refused_and_a_dead_one_is_not_waited_for(spark, tmp_path, monkeypatch):
+    store, other = (DocumentStore(spark, f"file://{tmp_path}/db") for _ in range(2))
+    with store._writing():
+        for work in (lambda: other.add(maps(spark, {"id": "x"})), other.commit, other.truncate):
+            with pytest.raises(StoreLocked):
+                work()
+        assert found(other, "id", "x") == []
+    other.add(maps(spark, {"id": "x"}))
+    fs, path = store._path("writer")
+    assert fs.createNewFile(path)
+    monkeypatch.setattr("docmill.sources.store.LOCK_SECONDS", -1)
+    store.add(maps(spark, {"id": "y"}))
+    assert store.last_id() == 2 and not fs.exists(path)
+
+
+def test_writers_and_readers_at_the_same_time(spark, tmp_path):
+    store = DocumentStore(spark, f"file://{tmp_path}/db")
+    refused, hits = [], []
+
+    def write(k):
+        for i in range(3):
+            while True:
+                try:
+                    DocumentStore(spark, store.root).add(maps(spark, {"id": f"{k}-{i}", "kind": "same"}))
+                    break
+                except StoreLocked:
+                    refused.append(k)
+                    time.sleep(0.2)
+
+    def read():
+        for _ in range(4):
+            hits.append(store.search("kind", "SAME").count())
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(2)] + [threading.Thread(target=read)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(r["doc_id"] for r in store.search("kind", "same").collect()) == [1, 2, 3, 4, 5, 6]
+    assert hits == sorted(hits) and all(0 <= h <= 6 for h in hits)
+
+
+def test_a_dropped_batch_that_runs_again_is_not_added(spark, tmp_path):
+    store = DocumentStore(spark, f"file://{tmp_path}/db")
+    for name, n in (("a", 128), ("b", 5)):
+        store.add(generated(spark, n).select("fields"), name)
+    assert store.commit() == 1 and store.checkpoint() == [] and store.checkpoint(least=1) == ["a"]
+    store.add(generated(spark, 128).select("fields"), "a")
+    assert store.last_id() == 133 and found(store, "id", "100") == ["100"]
+
+
+def test_a_lookup_prunes_fields_and_pushes_the_term_down(spark, tmp_path):
+    store = DocumentStore(spark, f"file://{tmp_path}/db")
+    store.add(generated(spark, 300).select("fields"))
+    store.commit()
+    plan = store.candidates("field1", "Value 3")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(field" in plan and "= field1)]" in plan and "PushedFilters: [IsNotNull(term_key), EqualTo(term_key," in plan
+
+
+def test_instruments_add_up_by_name_and_may_be_absent():
+    writer = instruments.Aggregating()
+    with instruments.timed("nobody listens"):
+        pass
+    instruments.use(writer)
+    try:
+        for name in ("Wal_Commit", "wal_commit", "grep_filter"):
+            with instruments.timed(name):
+                time.sleep(0.001)
+        with pytest.raises(KeyError), instruments.timed("grep_filter"):
+            raise KeyError
+    finally:
+        instruments.use(None)
+    sums = writer.sums()
+    assert {k: n for k, (n, _) in sums.items()} == {"grep_filter": 2, "wal_commit": 2} and all(t > 0 for _, t in sums.values())
+    assert sums["wal_commit"][1] >= 2_000_000 and writer.text().startswith("grep_filter: ")
+
+
+def test_clean_leaves_nothing(spark):
+    path = shared_root(spark, "test")
+    stored(spark.range(3), path)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+    clean(spark)
+    assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))

@@ -26,3 +26,10 @@ def test_entry_and_queries_without_llm(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'search_lang_ci' in q and not any(k.startswith('op') or k == 'pipeline' for k in q if k != 'operation_times'); print(len(q), len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_queries_without_a_library(tmp_path):
+    (tmp_path / "zstandard.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'search_lang_ci' in q and not any(k.startswith('op1_') or k == 'pipeline' for k in q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=REPO, env={**os.environ, "PYTHONPATH": f"{tmp_path}:{REPO}"}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

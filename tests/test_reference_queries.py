@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from docmill.plans import reference_queries
+from docmill.plans import reference_queries, store_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -24,10 +24,13 @@ def normal(rows):
     return sorted((tuple(f"{x:.9g}" if isinstance(x, float) and not math.isnan(x) else x for x in r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(reference_queries.oracle_sql()))
+SQL = reference_queries.oracle_sql() | store_queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
-    got = reference_queries.queries()[name](spark, SF)
-    rows = duck.execute(reference_queries.oracle_sql()[name])
+    got = (reference_queries.queries() | store_queries.queries())[name](spark, SF)
+    rows = duck.execute(SQL[name])
     names = [d[0] for d in rows.description]
     assert sorted(got.columns) == sorted(names)
     assert normal(got.select(*names).collect()) == normal(rows.fetchall())
