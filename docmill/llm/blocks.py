@@ -10,7 +10,6 @@ what moves is a few bytes for each distinct key of a block.
 from __future__ import annotations
 
 import struct
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.storage import partitions, shared_root, tidy
+from docmill.llm.storage import new_table, partitions, shared_root, tidy
 from docmill.llm.textkernel import row_chunks, utf8
 
 BLOCK_BYTES = 1 << 20
@@ -48,7 +47,7 @@ class Blocks:
     def __init__(self, docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None):
         """``carry``: a column that goes along with each row, as ``row``."""
         spark = self.spark = docs.sparkSession
-        self.root, self.table = shared_root(spark, name), f"docmill_{name}_{uuid.uuid4().hex}"
+        self.root, self.table = shared_root(spark, name), new_table(spark, name)
         tables = partitions(spark)
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if carry is None else [carry.alias("row")]))
         (

@@ -1,30 +1,16 @@
-"""Where intermediate tables go: the shared folder that the cluster names in ``spark.checkpoint.dir``."""
+"""What the operators' tasks and intermediate tables need besides ``docmill.functions.storage``."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from docmill.functions.storage import new_table, partitions, shared_root, stored
 
-def shared_root(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; its own temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/docmill-checkpoints"
-    return f"{root.rstrip('/')}/docmill/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written as Parquet and read again: a cut lineage that outlives executors."""
-    schema = df.schema
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
+__all__ = ["new_table", "partitions", "shared_root", "spread", "stored", "tidy"]
 
 #: A table of fewer bytes may lie in one file that Spark cannot split, and costs little to deal out.
 SMALL_BYTES = 64 << 20
@@ -47,7 +33,3 @@ def tidy(run: Callable) -> Callable:
             trim(0)
 
     return task
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
