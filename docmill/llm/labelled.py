@@ -16,7 +16,12 @@ def remainder(id_col: str, folds: int) -> Column:
 
 def others(docs: DataFrame, text_col: str) -> Column:
     """All columns but the text, as one struct that goes through Python beside it; ``whole`` puts them together again."""
-    return F.struct(F.lit(0).cast("byte").alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    return F.struct(F.lit(0).cast("byte").alias("_"), *(named(c) for c in docs.columns if c != text_col))
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def whole(out: DataFrame, docs: DataFrame, text: str = "text", text_col: str = "text") -> DataFrame:

@@ -113,7 +113,8 @@ def _sketch(plan: tuple[int, int]):
             known = (batch.column("doc_id").to_numpy() != NULL_ID).tolist()
             prints = [xxhash.xxh3_128_digest(s.tobytes() + other.tobytes()) if len(s) and k else None for s, other, k in zip(sets, others, known)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "bands"]
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "print", "bands"],
             )
 
     return run
@@ -219,12 +220,13 @@ def _few(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
-    """For each row: doc_id, n_shingles, component_id (least id reachable by links) and kept (it is that id)."""
+    """For each row: doc_id, n_shingles, component_id (least id reachable by links), kept (it is that id) and text_hash (Spark's
+    xxhash64 of the text, which tells rows with equal ids apart)."""
     spark = docs.sparkSession
     root = shared_root(spark, "minhash")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     plan = band_plan(percent)
-    sketches = stored(rows.mapInArrow(tidy(_sketch(plan)), "doc_id long, n_shingles long, print binary, bands array<long>"), f"{root}/sketches")
+    sketches = stored(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(tidy(_sketch(plan)), "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>"), f"{root}/sketches")
 
     some = sketches.where("print is not null")
     classes = stored(some.groupBy("print").agg(F.min("doc_id").alias("class")), f"{root}/classes")
@@ -251,8 +253,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     links = sent.sortWithinPartitions("cluster", "i", "j").mapInArrow(tidy(_confirm(percent)), "u long, v long").distinct()
     components = connected(links, f"{root}/components", contract=False)
 
-    out = sketches.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
+    out = sketches.select("doc_id", "text_hash", "n_shingles", "print").join(classes, "print", "left")
     out = out.join(components.select(F.col("u").alias("class"), F.col("v").alias("least")), "class", "left")
     component = F.coalesce("least", "class", "doc_id")
     shown = lambda c: F.when(c != NULL_ID, c)
-    return out.select(shown(F.col("doc_id")).alias("doc_id"), "n_shingles", shown(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select(shown(F.col("doc_id")).alias("doc_id"), "n_shingles", shown(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), "text_hash")

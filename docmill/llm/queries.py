@@ -58,7 +58,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(documents(spark, sf_dir), percent=85)
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir), percent=85).drop("text_hash")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

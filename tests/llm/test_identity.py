@@ -26,7 +26,7 @@ def twin_rows(spark, request):
 
 
 def test_components_of_twins(twin_rows):
-    got = sorted(tuple(r) for r in minhash_dedup.near_duplicates(twin_rows).collect())
+    got = sorted(tuple(r)[:4] for r in minhash_dedup.near_duplicates(twin_rows).collect())
     assert got == [(1, 1, 1, True), (2, 1, 2, True)]
 
 

@@ -49,14 +49,14 @@ def corpus(seed=3):
 def test_against_brute_force(spark, percent, part):
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, cluster int, parts string").repartition(4)
-    got = sorted(tuple(r) for r in near_duplicates(df, percent, part=part).collect())
+    got = sorted(tuple(r)[:4] for r in near_duplicates(df, percent, part=part).collect())
     assert got == brute(rows, percent)
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(5, text), (5, text), (7, text), (None, "other words here for this one text"), (None, "other words here for this one text"), (None, None)], "doc_id long, text string")
-    got = sorted([tuple(r) for r in near_duplicates(df).collect()], key=str)
+    got = sorted([tuple(r)[:4] for r in near_duplicates(df).collect()], key=str)
     assert got == sorted([(5, 26, 5, True), (5, 26, 5, True), (7, 26, 5, False), (None, 3, None, True), (None, 3, None, True), (None, 0, None, True)], key=str)
     assert near_duplicates(df.limit(0)).collect() == []
 
@@ -79,3 +79,43 @@ def test_signature_estimates_similarity_and_plan_misses_little():
     for percent in (80, 85):
         rows, bands = band_plan(percent)
         assert (1 - (percent / 100) ** rows) ** bands <= 1e-6
+
+
+def test_very_long_texts_and_a_large_cluster_in_many_parts(spark):
+    r = random.Random(4)
+    long = [f"w{r.randint(0, 10**6)}" for _ in range(60000)]
+    near = list(long)
+    for k in range(0, 60000, 1000):
+        near[k] = "other"
+    base = [f"b{i}" for i in range(120)]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:40000]))]
+    for i in range(150):
+        copy = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 4])):
+            copy[r.randrange(120)] = f"x{r.randint(0, 10**6)}"
+        rows.append((10 + i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(x)[:4] for x in near_duplicates(df, part=16).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("left", [None, 17])
+def test_links_are_all_pairs_at_the_threshold(percent, left):
+    import numpy as np
+
+    from docmill.llm.minhash_dedup import links_of
+
+    r = np.random.default_rng(percent)
+    pool = np.sort(r.choice(10**6, 400, replace=False)).astype(np.uint64)
+    base = [r.choice(pool, size, replace=False) for size in (1, 3, 7, 40, 60)]
+    sets = []
+    for _ in range(40):
+        own = set(base[r.integers(5)].tolist())
+        for _ in range(r.integers(0, 8)):
+            own.discard(r.choice(pool)) if r.random() < 0.7 else own.add(int(r.choice(pool)))
+        own = np.sort(np.array(sorted(own) or [1], np.uint64))
+        sets.append((own, own * np.uint64(3)))
+    plain = [set(s.tolist()) for s, _ in sets]
+    pairs = ((x, y) for x in range(40) for y in range(x + 1, 40) if left is None or x < left <= y)
+    want = {(x, y) for x, y in pairs if 100 * len(plain[x] & plain[y]) >= percent * len(plain[x] | plain[y])}
+    assert set(zip(*(v.tolist() for v in links_of(sets, percent, left)))) == want and want

@@ -98,3 +98,31 @@ def test_run_and_empty_tables(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, score double, `row` int, kept string, id string, `hash` int, topic long, bands array<int>, m map<string,int>"
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_any_columns(spark, tables, k):
+    """Nulls in any column, clashing and dotted names, repeated rows; and no rows."""
+    text = " ".join(f"plain{i} words" for i in range(40))
+    rows = [(i, f"{text} number {i * i} " + " ".join(f"own{i}x{j}" for j in range(60)), "en", "a", 1, "x", 0.1, 7, "k", "i", 3, 4, [1], {"a": i}) for i in range(20)]
+    rows += [(50, None, *[None] * 12), (None, "no id here at all, only text", *[None] * 12), (51, "", *[None] * 12), (3, *rows[3][1:]), (3, *rows[3][1:6], 9.5, *rows[3][7:])]
+    docs = spark.createDataFrame(rows, CLASHING)
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, docs, tables)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = out.collect()
+    if name == "near-duplicate removal":
+        assert sorted((r["doc_id"] for r in got), key=str) == sorted([*range(20), 50, 51, None], key=str)
+        assert [r["score"] for r in got if r["doc_id"] == 3] == [0.1]
+    carried = lambda r: str((r["doc_id"], r["a.b"], r["row"], r["kept"], r["id"], r["hash"], r["topic"], r["bands"], r["m"]))
+    assert got and {carried(r) for r in got} <= {carried(r) for r in docs.collect()}
+    assert stage(spark, docs.where("false"), tables).collect() == []
+
+
+def test_rows_with_one_id_and_different_texts(spark, tables):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_dedup_stage(spark, docs, tables).collect())) == [(3, a), (5, b)]
