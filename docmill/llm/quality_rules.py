@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 THRESHOLD = -0.08
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 # Fixed values of the rules: what parts words, what counts as a symbol, the window's words.
 SEPARATORS, SEPARATOR = " \t\n\x0b\f\r", "\\x20\\x09-\\x0D"
 SYMBOLS = "#*$%&|<>"
@@ -78,7 +78,7 @@ def _repeated_words(windows: Column) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """For each bucket the log-likelihood ratio of the trusted target to the raw corpus, with add-one smoothing."""
     ids = trusted.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().withColumn("good", F.lit(1))
-    # two numbers a row, so some 16 MB at most; beyond, ids and texts are shuffled, before they are split into words
+    # two numbers a row, so some 30 MB at most; beyond, ids and texts are shuffled, before they are split into words
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(ids, "id", "left")
     rows = rows.select("good", words_of(F.col("t")).alias("w"))

@@ -6,7 +6,7 @@ task gets.  It learns from at most ``BOUND`` labelled documents of either class
 Where the bound cuts the classes at different rates, the log odds are put back to those of all labels (a logistic model of rows
 sampled by class differs from that of all rows by the log ratio of the sampling rates, in its bias alone).
 
-Defined cases: null is an empty text; a text without features scores by the bias alone; without any labelled document all
+Defined cases: null is an empty text; a text of any length is scored whole; a text without features scores by the bias alone; without any labelled document all
 scores are 0.5; rows with equal ids are scored each by itself; columns beside id and text are not looked at.
 """
 
@@ -24,8 +24,7 @@ BITS = 20
 BOUND = 8000
 EPOCHS = 5
 ALPHA, BETA = 2.0, 1.0
-#: The L1 term of a sample with many toxic rows, and the rows of them that allow it; fewer have a smaller one.
-L1, L1_ROWS = 10.0, 400
+L1 = 10.0
 
 _PAIR, _SKIP = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)))
 
@@ -74,7 +73,7 @@ def _train(batches):
             rows.append((np.unique(at[order[bounds[i] : bounds[i + 1]]]), y))
         weight.update(zip(batch.column("y").to_pylist(), batch.column("weight").to_pylist()))
     if rows:
-        model = Ftrl(l1=L1 * min(1.0, (1 + sum(y for _, y in rows)) / L1_ROWS))
+        model = Ftrl()
         # rows come by the hash that a class is cut by, so the less cut class would stand alone at the end
         order = np.random.default_rng(3).permutation(len(rows))
         for _ in range(EPOCHS):

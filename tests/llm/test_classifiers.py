@@ -1,4 +1,7 @@
+import math
+import pickle
 import random
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.llm import quality, toxicity
-from docmill.llm.labelled import remainder
+from docmill.llm.labelled import remainder, sample, trained
 from docmill.llm.textkernel import text_chunks
 
 
@@ -100,3 +103,82 @@ def test_compressed_sizes_of_empty_and_long_texts():
     sizes = quality.Sizes([b"", b""])
     assert sizes.features(b"").tolist() == [1.0] + [0.0] * 9
     assert sizes.features(b"ab" * 10**5)[1] == 0
+
+
+def test_toxicity_scores_are_those_of_the_weights():
+    """The features and the sum, one text at a time, in plain numbers."""
+    from test_mixing import plain_hash
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64
+        return x ^ x >> 32
+
+    def coordinates(text):
+        h = [plain_hash(w) for w in re.findall("[a-zA-Z0-9\x80-\U0010ffff]+", text)]
+        pairs = [mix((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64) for a, b in zip(h, h[1:])]
+        skips = [mix((a * 0xD6E8FEB86659FD93 + b * 0xA0761D6478BD642F) % 2**64) for a, b in zip(h, h[2:])]
+        return {x >> 44 for x in h + pairs + skips}
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["Über", "one", "TWO", "don't", "a|b", "x9", "漢字", "zwölf."]) for _ in range(r.randint(0, 30))) for _ in range(50)] + ["", "  "]
+    weights = np.random.default_rng(1).normal(0, 1, 1 << toxicity.BITS).astype(np.float32)
+    weights[np.random.default_rng(2).random(len(weights)) < 0.5] = 0
+    ((_, data, offsets),) = text_chunks([pa.RecordBatch.from_pydict({"text": texts})])
+    want = [1 / (1 + np.exp(-(0.3 + sum(float(weights[c]) for c in coordinates(t))))) for t in texts]
+    assert np.allclose(toxicity.scores(data, offsets, 0.3, weights), want, atol=1e-9)
+
+
+def test_ftrl_steps_are_those_of_the_update_rule():
+    model, r = toxicity.Ftrl(6, l1=0.5), random.Random(3)
+    z, n, bias = [0.0] * 6, [0.0] * 6, [0.0, 0.0]
+
+    def weight(zi, ni, l1):
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((1 + math.sqrt(ni)) / 2)
+
+    for _ in range(60):
+        at, y = sorted(r.sample(range(6), 3)), r.randint(0, 1)
+        model.learn(np.array(at), y)
+        p = 1 / (1 + math.exp(-(sum(weight(z[i], n[i], 0.5) for i in at) + weight(*bias, 0.0))))
+        g = p - y
+        for i in at:
+            z[i], n[i] = z[i] + g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 2 * weight(z[i], n[i], 0.5), n[i] + g * g
+        bias = [bias[0] + g - (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / 2 * weight(*bias, 0.0), bias[1] + g * g]
+    assert np.allclose(model.weights(), [weight(a, b, 0.5) for a, b in zip(z, n)]) and math.isclose(model.bias_weight(), weight(*bias, 0.0))
+
+
+def test_quality_scores_are_those_of_the_dictionaries(tables, spark):
+    """Compressed sizes piece by piece, and the logistic sum, from a model that the operator has trained."""
+    import zstandard
+
+    docs, labels = tables
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    learn = remainder("doc_id", 3) != 1
+    dictionaries, mean, scale, beta, rate = pickle.loads(trained(sample(docs, labels, "quality", quality.BOUND, learn), quality._train))
+
+    def score(text):
+        data = (text or "").encode()
+        if not data:
+            return rate
+        sizes = []
+        for raw in dictionaries:
+            own = zstandard.ZstdCompressionDict(raw)
+            own.precompute_compress(level=1)
+            sizes.append(sum(len(zstandard.ZstdCompressor(dict_data=own, level=0, write_content_size=False, write_dict_id=False, write_checksum=False).compress(data[i : i + 512])) for i in range(0, len(data), 512)))
+        bad, good = sizes
+        x = [10 * (bad - good) / (bad + good), good / len(data), bad / len(data)]
+        x = [1, *x, x[0] * x[0], x[0] * x[1], x[0] * x[2], x[1] * x[1], x[1] * x[2], x[2] * x[2]]
+        t = sum(b * (v - m) / s for b, v, m, s in zip(beta, x, mean, scale))
+        return 1 / (1 + math.exp(-max(-35, min(35, t))))
+
+    got = sorted(((r["doc_id"], r["score"]) for r in quality.quality(docs, labels, learn).collect()), key=str)
+    want = sorted(((i, score(t)) for i, t in rows), key=str)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
+
+
+def test_dictionaries_learn_from_whole_texts():
+    """What stands only at the end of long texts is in the dictionary."""
+    r = random.Random(1)
+    texts = [("".join(r.choice("abcdefgh ") for _ in range(20000)) + "the tail that only ends have, again and again; " * 40).encode() for _ in range(40)]
+    assert b"ends have" in quality._dictionary(texts)
+    assert quality._dictionary([b"little text"]) == b"little text" and quality._dictionary([]) == b""
