@@ -80,3 +80,81 @@ def test_operator_round_trips(spark, library):
 
 def test_empty_table(spark):
     assert encoded(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
+
+
+@pytest.fixture(scope="module")
+def unigram():
+    """The public model's pieces with scores of a unigram model."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model, r = sentencepiece_model_pb2.ModelProto(), np.random.default_rng(1)
+    with open(MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for i, piece in enumerate(model.pieces):
+        if piece.type == 1:
+            piece.score = float(-8 - np.log(i + 1) + 1.3 * len(piece.piece) + r.normal(0, 0.5))
+    return model.SerializeToString()
+
+
+def test_unigram_models_against_the_library_and_a_plain_viterbi(unigram):
+    """The best sum of scores over all 32,000 pieces.  Among equal sums the library's choice is its rounding's."""
+    import pyarrow.parquet as pq
+    from sentencepiece import SentencePieceProcessor
+
+    own, library = Codec(unigram), SentencePieceProcessor(model_proto=unigram)
+    assert not own.merging
+    try:
+        texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()
+    except FileNotFoundError:
+        pytest.skip("no test data")
+    texts = [t or "" for t in texts] + ["😀 漢字 xyz", "a  b", "  ", "\n\t", "<s>", "zzzz😀😀zz"]
+    score = np.array([library.get_score(i) for i in range(library.get_piece_size())])
+    score[list(own.byte_id.values())] = 0
+    same = 0
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, _ = own.encode(data, np.array([0, len(data)]))
+        want = library.encode(text)
+        same += ids.tolist() == want
+        assert abs(score[ids].sum() - score[want].sum()) < 1e-3 * max(1, len(want) / 100)
+    assert same > 0.9 * len(texts)
+
+    def plain(text):
+        best = [(0.0, [])] + [None] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - 20), end):
+                piece = text[start:end]
+                s = own.score.get(piece, own.unknown_score if len(piece) == 1 else None)
+                if s is not None and best[start] is not None and (best[end] is None or best[start][0] + s > best[end][0]):
+                    best[end] = (best[start][0] + s, [*best[start][1], piece])
+        return best[-1][0]
+
+    for text in texts[:60]:
+        text = "▁" + text[:300].replace(" ", "▁")
+        assert abs(sum(own.score.get(p, own.unknown_score) for p in own.segment(text)) - plain(text)) < 1e-6
+
+
+def test_a_model_that_changes_texts_is_refused(unigram):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(unigram)
+    model.normalizer_spec.remove_extra_whitespaces = True
+    with pytest.raises(ValueError, match="normalizer_spec"):
+        Codec(model.SerializeToString())
+
+
+def test_a_model_without_byte_pieces_has_the_unknown_one(unigram):
+    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(unigram)
+    model.trainer_spec.byte_fallback = False
+    kept = [p for p in model.pieces if p.type != 6]
+    del model.pieces[:]
+    model.pieces.extend(kept)
+    raw = model.SerializeToString()
+    data = "one 𒀀 two".encode()
+    ids, _ = Codec(raw).encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert ids.tolist() == SentencePieceProcessor(model_proto=raw).encode(data.decode())
