@@ -17,8 +17,8 @@ and adds to one of ``DIMS`` coordinates by another part of its hash, with a sign
 of the mean in three principal directions, then ``TURNS`` rounds of means follow, each over all documents.  What tasks send is
 sums of fixed size.
 
-What reaches the driver besides is the cells, of which there are as many as sources times languages times ``TOPICS`` at most; over
-``CELLS`` the operator refuses, as its targets then need grouping first.  Nothing is dropped on the way.
+Up to ``CELLS`` cells (of sources times languages times ``TOPICS`` at most) are raked on the driver.  More stay in tables: margins are
+aggregated and steps joined back, to a gap of ``FRAME_CLOSE``, and documents meet their cells in a join.  Nothing is dropped.
 
 Defined cases: null sources and languages are a source and a language; null, empty and wordless texts have topic 0 and no tokens, a
 cell without tokens keeps its documents with probability 1; a text of any length is counted whole; rows with equal ids are kept
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,10 @@ TOPICS, DIMS, TURNS = 8, 128, 4
 SLOT_BITS, SLICES = 18, 64
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 BUDGET = 0.8
-CELLS = 1_000_000
+CELLS = 100_000
 ROUNDS, CLOSE = 1000, 1e-9
+FRAME_ROUNDS, FRAME_CLOSE = 100, 1e-4
+MARGINS = ("source", "lang", "topic")
 SLICE_SCHEMA = "slice int, payload binary"
 
 
@@ -248,10 +250,75 @@ def _targets(name: str, values: list, mass: np.ndarray, given: dict | None) -> t
     return code, share / max(share.sum(), 1e-300)
 
 
+def _key(value: Column | str) -> Column:
+    """A category as text, null included."""
+    return F.coalesce(F.concat(F.lit("="), F.col(value).cast("string")), F.lit(""))
+
+
+def _scale(rows: DataFrame, mass: str, factor: str, want: float) -> float:
+    """The scale that makes the sum of mass * min(1, scale * factor) as large as wanted; 32 tried at once, closer each time."""
+    low, high = 2.0**-60, 2.0**60
+    for _ in range(8):
+        tried = np.geomspace(low, high, 34)
+        sums = rows.agg(*(F.sum(F.col(mass) * F.least(F.lit(1.0), F.col(factor) * float(t))) for t in tried)).first()
+        at = min(max(int(np.searchsorted(np.array(sums, float), want)), 1), 33)
+        low, high = tried[at - 1], tried[at]
+    return float(np.sqrt(low * high))
+
+
+def _raked_frame(cells: DataFrame, wants: dict[str, DataFrame], total: float, bound: bool, root: str) -> tuple[DataFrame, float]:
+    """Cells with a factor each, as ``rake`` or ``bounded`` do, in tables; and the largest gap of a share that is left."""
+    current, gap = cells.withColumn("factor", F.lit(1.0)), 1.0
+    used = F.least(F.lit(1.0), F.col("factor")) if bound else F.col("factor")
+    for k in range(FRAME_ROUNDS):
+        for name, want in wants.items():
+            now = current.groupBy(name).agg(F.sum(F.col("n") * used).alias("now"))
+            step = want.join(now, name).select(name, F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(1.0).alias("step"))
+            current = current.join(step, name, "left").select(*MARGINS, "n", (F.col("factor") * F.coalesce("step", F.lit(1.0))).alias("factor"))
+        current = stored(current, f"{root}/{k}")
+        gap = max(
+            want.join(current.groupBy(name).agg(F.sum(F.col("n") * used).alias("now")), name).agg(F.max(F.abs(F.col("want") - F.col("now")))).first()[0] / total for name, want in wants.items()
+        )
+        if gap < FRAME_CLOSE:
+            break
+    return current, gap
+
+
+def raked_frames(cells: DataFrame, given: dict[str, dict], budget: float, root: str) -> tuple[DataFrame, float]:
+    """(source, lang, topic as texts, weight, probability) of any number of cells, and the gap of the weights."""
+    spark = cells.sparkSession
+    cells = stored(cells.select(*(_key(m).alias(m) for m in MARGINS), F.col("n").cast("double").alias("n")), f"{root}/cells")
+    total = cells.agg(F.sum("n")).first()[0] or 0.0
+    if not total:
+        return cells.select(*MARGINS, F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability")), 0.0
+    asked, bounds = {}, {}
+    for name in MARGINS:
+        own = cells.groupBy(name).agg(F.sum("n").alias("own")).where("own > 0")
+        if given.get(name):
+            named = spark.createDataFrame([("" if v is None else f"={v}", float(x)) for v, x in given[name].items()], f"{name} string, asked double")
+            own = stored(own.join(named, name, "left"), f"{root}/{name}")
+            rest, sums = own.agg(F.sum(F.when(F.col("asked").isNull(), F.col("own"))), F.sum("asked")).first()
+            share = F.when(F.col("asked").isNull(), F.col("own") / total).otherwise(F.col("asked") / (sums or 1.0) * (1 - (rest or 0.0) / total))
+        else:
+            share = F.pow(F.col("own") / total, F.lit(TEMPER[name]))
+        own = stored(own.select(name, "own", share.alias("share")), f"{root}/{name}-shares")
+        sums = own.agg(F.sum("share")).first()[0]
+        own = own.withColumn("ratio", F.col("share") / sums * total / F.col("own"))
+        asked[name] = own.select(name, (F.col("ratio") * F.col("own")).alias("want"))
+        scale = _scale(own, "own", "ratio", budget * total)
+        bounds[name] = own.select(name, (F.col("own") * F.least(F.lit(1.0), F.col("ratio") * scale)).alias("want"))
+    weights, gap = _raked_frame(cells, asked, total, False, f"{root}/weights")
+    chances, _ = _raked_frame(cells, bounds, total, True, f"{root}/chances")
+    chances = chances.select(*MARGINS, "n", F.least(F.lit(1.0), "factor").alias("factor"))
+    scale = _scale(chances, "n", "factor", budget * total)
+    p = F.when(F.col("n") > 0, F.least(F.lit(1.0), F.col("factor") * scale)).otherwise(1.0)
+    return weights.select(*MARGINS, F.col("factor").alias("weight")).join(chances.select(*MARGINS, p.alias("probability")), list(MARGINS)), gap
+
+
 def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """Text, the documents' other columns in ``row``, and topic, n_tokens, weight, probability, sampled, margin_gap beside it."""
     spark = docs.sparkSession
-    given = targets or {}
+    given, root = targets or {}, shared_root(spark, "mixing")
     rows = docs.select(
         others(docs, text_col).alias("row"), F.col(id_col).cast("string").alias("key"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
@@ -262,7 +329,7 @@ def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float
             vectors, n = vectors_of(data, offsets, idf.value)
             yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("lang"), pa.array([v.astype("<i2").tobytes() for v in vectors], pa.binary()), pa.array(n, pa.int64())], names=["source", "lang", "vector", "n"])
 
-    vectors = stored(rows.select("source", "lang", "text").mapInArrow(tidy(project), "source string, lang string, vector binary, n long"), f"{shared_root(spark, 'mixing')}/vectors")
+    vectors = stored(rows.select("source", "lang", "text").mapInArrow(tidy(project), "source string, lang string, vector binary, n long"), f"{root}/vectors")
     centres = centres_of(vectors.select("vector"))
 
     def count(batches):
@@ -271,10 +338,22 @@ def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float
             yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("lang"), pa.array(topics_of(own, centres)), batch.column("n")], names=["source", "lang", "topic", "n"])
 
     cells = vectors.mapInArrow(count, "source string, lang string, topic int, n long").groupBy("source", "lang", "topic").agg(F.sum("n").alias("n"))
-    found = cells.limit(CELLS + 1).collect()
-    if len(found) > CELLS:
-        raise ValueError(f"over {CELLS} combinations of source, language and topic: group them before mixing")
-    found.sort(key=lambda r: tuple((v is not None, str(v)) for v in r[:3]))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "key"), 11) / F.lit(float(2**53))
+    result = lambda out, gap: out.select("text", "row", "topic", "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled"), F.lit(gap).alias("margin_gap"))
+    cells = stored(cells, f"{root}/cells")
+    if cells.count() > CELLS:
+        weighed, gap = raked_frames(cells, given, budget, f"{root}/frames")
+        new = T.StructType([*rows.schema.fields, *T._parse_datatype_string("topic int, n_tokens long").fields])
+
+        def topics(batches):
+            for batch, data, offsets in text_chunks(batches):
+                vectors, n = vectors_of(data, offsets, idf.value)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(topics_of(vectors.astype(np.int64), centres)), pa.array(n, pa.int64())], names=[*batch.schema.names, "topic", "n_tokens"])
+
+        out = rows.mapInArrow(tidy(topics), new).withColumns({f"cell_{m}": _key(m) for m in MARGINS})
+        weighed = weighed.select(*(F.col(m).alias(f"cell_{m}") for m in MARGINS), "weight", "probability")
+        return result(out.join(weighed, [f"cell_{m}" for m in MARGINS]), gap)
+    found = sorted(cells.collect(), key=lambda r: tuple((v is not None, str(v)) for v in r[:3]))
     mass = np.array([r["n"] for r in found], float)
     margins = [_targets(name, [r[name] for r in found], mass, given.get(name)) for name in ("source", "lang", "topic")]
     codes, shares = [c for c, _ in margins], [t for _, t in margins]
@@ -291,5 +370,4 @@ def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float
                 [batch.column("text"), batch.column("row"), batch.column("key"), pa.array(topic), pa.array(n, pa.int64()), pa.array([w for w, _ in own], pa.float64()), pa.array([x for _, x in own], pa.float64())], names=["text", "row", "key", "topic", "n_tokens", "weight", "probability"]
             )
 
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "key"), 11) / F.lit(float(2**53))
-    return rows.mapInArrow(tidy(weigh), new).select("text", "row", "topic", "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled"), F.lit(gap).alias("margin_gap"))
+    return result(rows.mapInArrow(tidy(weigh), new), gap)

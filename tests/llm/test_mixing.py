@@ -4,8 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
+from docmill.llm import mixing
 from docmill.llm.mixing import mixed, probabilities, rake
 
 
@@ -154,3 +156,18 @@ def test_shares_meet_the_targets_where_probabilities_reach_one(spark):
     own = [1 / 3, *[1 / 30] * 20]
     assert abs(kept(lambda r: r["source"] == "hot") - own[0] ** 0.7 / sum(x**0.7 for x in own)) < 0.01
     assert abs(sum(r["probability"] for r in out) - 2400) < 1e-3 and max(r["probability"] for r in out) <= 1
+
+
+@pytest.mark.parametrize("targets", [None, {"source": {"s1": 2, "s2": 1, None: 3}, "lang": {"de": 1}}])
+def test_more_cells_than_the_driver_takes(spark, monkeypatch, targets):
+    r = random.Random(2)
+    rows = [(i, " ".join(f"w{r.randint(0, 99)}" for _ in range(r.randint(0, 30))), r.choice([None, "s1", "s1", "s2", "s3"]), r.choice(["en", "en", "de"]), 1, "x") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    one = {x["row"]["doc_id"]: x for x in mixed(df, targets, budget=0.7).collect()}
+    monkeypatch.setattr(mixing, "CELLS", 5)
+    two = {x["row"]["doc_id"]: x for x in mixed(df, targets, budget=0.7).collect()}
+    assert one.keys() == two.keys() and all(one[i]["topic"] == two[i]["topic"] and one[i]["text"] == two[i]["text"] for i in one)
+    tokens = sum(x["n_tokens"] for x in one.values())
+    assert abs(sum(x["n_tokens"] * x["probability"] for x in two.values()) / tokens - 0.7) < 1e-3
+    assert max(abs(one[i]["probability"] - two[i]["probability"]) for i in one) < 0.02
+    assert max(abs(one[i]["weight"] - two[i]["weight"]) / one[i]["weight"] for i in one) < 0.02
