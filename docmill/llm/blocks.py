@@ -89,22 +89,35 @@ class Blocks:
         return self.read().join(lists, "block", "left")
 
 
-def answered(blobs: DataFrame, answer) -> DataFrame:
-    """``answer(kind, blocks, payloads)`` gives one payload for each payload of a (kind, bucket).
+def answered(blobs: DataFrame, answer, buckets: int) -> DataFrame:
+    """``answer(kind, payloads)`` gives one payload for each payload of a (kind, bucket), in the order of their blocks.
 
-    It may give a pair, of these and of a summary of the bucket, which comes as a row of the block ``SUMMARY``.
+    It may give a pair, of these and of a summary of the bucket, which comes as a row of the block ``SUMMARY``.  Buckets are dealt out in
+    turn, so that a task has one of each kind, and holds one at a time.
     """
-    import pandas as pd
 
-    def run(group):
-        kind, bucket = int(group["kind"].iloc[0]), int(group["bucket"].iloc[0])
-        group = group.sort_values("block")
-        out, blocks = answer(kind, group["block"].to_numpy(), group["payload"].tolist()), group["block"].to_numpy()
+    def answers(key: tuple[int, int], blocks: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+        out = answer(key[0], payloads)
         if isinstance(out, tuple):
-            out, blocks = [*out[0], out[1]], np.append(blocks, SUMMARY)
-        return pd.DataFrame({"kind": np.int32(kind), "bucket": np.int32(bucket), "block": blocks, "payload": out})
-
-    return blobs.groupBy("kind", "bucket").applyInPandas(run, BLOB_SCHEMA)
+            out, blocks = [*out[0], out[1]], [*blocks, SUMMARY]
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.int32()), pa.array([key[1]] * len(out), pa.int32()), pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], names=["kind", "bucket", "block", "payload"])
+
+    def run(batches):
+        own, blocks, payloads = None, [], []
+        for batch in batches:
+            for kind, bucket, block, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if (kind, bucket) != own:
+                    if payloads:
+                        yield answers(own, blocks, payloads)
+                    own, blocks, payloads = (kind, bucket), [], []
+                blocks.append(block)
+                payloads.append(payload)
+        if payloads:
+            yield answers(own, blocks, payloads)
+
+    # kinds start at different tasks
+    turn = F.pmod(F.col("bucket") + F.col("kind") * (buckets // 3 + 1), F.lit(buckets))
+    return blobs.select("kind", "bucket", "block", "payload").repartitionById(buckets, turn).sortWithinPartitions("kind", "bucket", "block").mapInArrow(tidy(run), BLOB_SCHEMA)
 
 
 def _to_blocks(batches):

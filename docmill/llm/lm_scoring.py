@@ -101,7 +101,7 @@ def _bins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (code * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64) % BINS
 
 
-def _merge(kind: int, blocks: np.ndarray, payloads: list) -> tuple[list[bytes], bytes]:
+def _merge(kind: int, payloads: list) -> tuple[list[bytes], bytes]:
     parts = [decode(p, "<u4", "u1") for p in payloads]
     keys, counts = (np.concatenate([p[i] for p in parts]) for i in range(2))
     uniq, at = np.unique(keys, return_inverse=True)
@@ -381,7 +381,7 @@ def lm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "
         x = Tokens(payload, learns)
         yield from split(WORDS, buckets, x.keys, x.counts, x.bins)
 
-    answers = stored(answered(blocks.send(counted), _merge), f"{blocks.root}/counts")
+    answers = stored(answered(blocks.send(counted), _merge, buckets), f"{blocks.root}/counts")
     summaries, answers = answers.where(F.col("block") == SUMMARY), answers.where(F.col("block") != SUMMARY)
     per_bin = {r["bin"]: (r["n"], r["words"]) for r in summaries.mapInArrow(_sums, "bin int, n long, words long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()}
     n_all, v_all = (sum(v[i] for v in per_bin.values()) for i in (0, 1))

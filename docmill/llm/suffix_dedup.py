@@ -174,7 +174,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _merge(kind: int, blocks: np.ndarray, payloads: list) -> list[bytes]:
+def _merge(kind: int, payloads: list) -> list[bytes]:
     """The answers of a bucket.  Spans, windows: in how many blocks the group is, negative if the first is in another one.
     Anchors: in how many blocks the gram is, or SHARED if a block has it in different spans."""
     if kind == ANCHOR:
@@ -209,7 +209,7 @@ def _spans(docs: DataFrame, finish, schema, id_col: str, text_col: str, length:
         yield from split(SPAN, buckets, x.whole[x.classes], x.second[x.classes], x.doc(x.first[x.classes]))
         yield from split(ANCHOR, buckets, x.grams, x.varied.astype("u1"))
 
-    first = answered(blocks.send(digits), _merge)
+    first = answered(blocks.send(digits), _merge, buckets)
     first.write.parquet(f"{blocks.root}/first")
     first = blocks.spark.read.parquet(f"{blocks.root}/first")
 
@@ -225,7 +225,7 @@ def _spans(docs: DataFrame, finish, schema, id_col: str, text_col: str, length:
                     names=["kind", "bucket", "block", "payload"],
                 )
 
-    second = answered(blocks.with_answers(first).mapInArrow(tidy(windows), "kind int, bucket int, block long, payload binary"), _merge)
+    second = answered(blocks.with_answers(first).mapInArrow(tidy(windows), "kind int, bucket int, block long, payload binary"), _merge, buckets)
     second.write.parquet(f"{blocks.root}/second")
     second = blocks.spark.read.parquet(f"{blocks.root}/second")
 
