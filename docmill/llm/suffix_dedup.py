@@ -10,13 +10,16 @@ two suffixes or more, and the groups equal after the last pass are exactly the r
 3. For first spans whose anchor stands in other spans too, the windows themselves, by two digits: either is a fingerprint of
    the window's first and last 64 bytes, which together cover it.
 
-Digits go through the block exchange (``docmill.llm.blocks``): a block sends each distinct digit once, with the smallest document
-that holds it there, so a passage of a third of all documents is as cheap in a bucket as any other.  A suffix is repeated if its
-group has an earlier member.  Spans and windows are told apart by two hashes of 64 bits, each of all of their bytes and of a
-family of its own, so neither a shared part nor an equal hash of one family makes the other hash equal.
-
-Defined cases: null and texts under ``LENGTH`` bytes lose nothing; rows with equal ids are ordered by text; columns beside id and
-text are not looked at; an empty table gives an empty result.
+Within a block the passes go on with the bytes themselves, eight of them a digit, over the groups that still have others, so what
+is equal there is equal byte by byte.  Between blocks, digits go through the block exchange (``docmill.llm.blocks``): a block sends each
+distinct one once, with the smallest document that holds it there, so a passage of a third of all documents is as cheap in a
+bucket as any other.  There spans and windows are told apart by two hashes of 64 bits, each of all of their bytes and of a family of
+its own, so neither a shared part nor an equal hash of one family makes the other hash equal.  A suffix is repeated if its group has
+an earlier member.
+
+Defined cases: null and texts under ``LENGTH`` bytes lose nothing; a text of any length is judged whole, in a block of its own if it
+is longer than one; rows with equal ids are ordered by text; columns beside id and text are not looked at; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -43,10 +46,11 @@ _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 _E, _F = (np.uint64(x) for x in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5))
 
 
-def msd_groups(digits: list[np.ndarray], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def msd_groups(digits: list, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Most-significant-digit radix order of items: (order, group number of each ordered item, size of its group).
 
-    Each pass orders by one more digit only the items whose group still has others.  Within a group items stand by ``rank``.
+    A digit is an array, or a function that gives the digits of some items.  Each pass orders by one more digit only the items whose
+    group still has others.  Within a group items stand by ``rank``.
     """
     n = len(rank)
     order = np.argsort(digits[0], kind="stable")
@@ -58,17 +62,34 @@ def msd_groups(digits: list[np.ndarray], rank: np.ndarray) -> tuple[np.ndarray,
         group = np.cumsum(first)
         alone = first & np.append(first[1:], True)
         live = np.flatnonzero(~alone)
-        if len(live):
-            items = order[live]
-            again = np.lexsort((digit[items], group[live]))
-            order[live] = items[again]
-            if digit is not rank:
-                d, g = digit[order[live]], group[live]
-                first[live] = np.append(True, (d[1:] != d[:-1]) | (g[1:] != g[:-1]))
+        if not len(live):
+            break
+        items = order[live]
+        own = digit(items) if callable(digit) else digit[items]
+        again = np.lexsort((own, group[live]))
+        order[live] = items[again]
+        if digit is not rank:
+            d, g = own[again], group[live]
+            first[live] = np.append(True, (d[1:] != d[:-1]) | (g[1:] != g[:-1]))
     group = np.cumsum(first) - 1
     return order, group, np.bincount(group, minlength=1)[group] if n else group
 
 
+def byte_digits(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list:
+    """The bytes of spans as digits, eight of them at a time, the first the most significant; ``words``: those from each place."""
+
+    def digit(k: int):
+        def of(items: np.ndarray) -> np.ndarray:
+            at = np.minimum(starts[items] + 8 * k, ends[items])
+            rest = np.minimum(ends[items] - at, 8).astype(np.uint64)
+            own = words[at].byteswap()
+            return np.where(rest == 0, np.uint64(0), own >> (np.uint64(8) * (np.uint64(8) - np.maximum(rest, np.uint64(1)))))
+
+        return of
+
+    return [digit(k) for k in range(-(-int((ends - starts).max(initial=0)) // 8))]
+
+
 class Spans:
     """The windows of a block's texts, in spans, and their digits."""
 
@@ -81,7 +102,8 @@ class Spans:
         padded = np.zeros(n + 256, np.uint8)
         padded[:n] = self.data
         m = n + 128
-        h8 = np.ndarray(m + 64, "<u8", padded[: m + 72].tobytes(), strides=(1,)).astype(np.uint64)
+        self.words = np.ndarray(m + 64, "<u8", padded[: m + 72].tobytes(), strides=(1,))
+        h8 = self.words.astype(np.uint64)
         h32, self.h64 = _fingerprints(h8, m, _A, _B)
         self.g64 = _fingerprints(h8, m, _E, _F)[1]
         sizes = np.diff(self.offsets)
@@ -102,7 +124,7 @@ class Spans:
         place = ((z - a) * 256 + anchor - a).astype(np.uint64) * _D
         self.whole, self.second = (mix(h[a] * _A + h[middle] * _B + h[z - 64] * _C + place) for h in (self.h64, self.g64))
         # classes of equal spans, each by its first member, in the order of their digit
-        order, group, _ = msd_groups([self.whole, self.second], np.arange(len(a)))
+        order, group, _ = msd_groups([self.whole, place, *byte_digits(self.words, a, z)], np.arange(len(a)))
         lead = np.append(True, group[1:] != group[:-1]) if len(a) else np.empty(0, bool)
         self.classes = order[lead]
         self.copies = order[~lead]
@@ -124,7 +146,7 @@ class Spans:
         windows = np.arange(int(counts.sum())) + np.repeat(self.first[spans] - np.concatenate([[0], np.cumsum(counts)])[:-1], counts)
         s = self.starts[windows]
         one, two = (mix(h[s] * _A + h[s + self.length - 64] * _B) for h in (self.h64, self.g64))
-        order, group, _ = msd_groups([one, two], windows)
+        order, group, _ = msd_groups([one, *byte_digits(self.words, s, s + self.length)], windows)
         lead = np.append(True, group[1:] != group[:-1]) if len(order) else np.empty(0, bool)
         kept = order[lead]
         return windows[kept], one[kept], two[kept], windows[order[~lead]]

@@ -1,7 +1,11 @@
 import hashlib
 import random
 
-from docmill.llm.suffix_dedup import repeated_spans, without_repeats
+import numpy as np
+import pyarrow as pa
+
+from docmill.llm import blocks, suffix_dedup
+from docmill.llm.suffix_dedup import byte_digits, msd_groups, repeated_spans, without_repeats
 
 
 def brute(rows, length=100):
@@ -74,3 +78,30 @@ def test_windows_that_share_their_first_64_bytes(spark):
     for parts in (1, 5):
         got = sorted((tuple(r) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()), key=str)
         assert got == brute(rows)
+
+
+def test_radix_groups_are_those_of_the_bytes():
+    r = random.Random(7)
+    data = bytes(r.choice(b"ab") for _ in range(3000)) * 2 + bytes(64)
+    starts = np.array([r.randrange(5900) for _ in range(700)])
+    ends = np.minimum(starts + np.array([r.choice([1, 7, 8, 9, 30, 100]) for _ in range(700)]), 6000)
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    order, group, size = msd_groups([ends - starts, *byte_digits(words, starts, ends)], starts)
+    spans = [(z - a, data[a:z], a) for a, z in zip(starts.tolist(), ends.tolist())]
+    assert [spans[i] for i in order] == sorted(spans)  # the order is that of the bytes
+    numbers = {s: k for k, s in enumerate(sorted({s[:2] for s in spans}))}
+    assert group.tolist() == [numbers[spans[i][:2]] for i in order] and size.tolist() == [sum(s[:2] == spans[i][:2] for s in spans) for i in order]
+
+
+def test_very_long_texts_and_hashes_that_are_all_equal(spark, monkeypatch):
+    r = random.Random(2)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, long = prose(5000), prose(1_300_000)
+    rows = [(1, long[:700_000] + passage + long[700_000:]), (2, prose(300) + passage), (3, long[650_000:680_000])]
+    got = sorted((tuple(x) for x in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == brute(rows)
+    # within one block equal hashes alone make nothing equal
+    block = blocks._pack(pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [prose(400), prose(400)]}))
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x * 0)
+    spans = suffix_dedup.Spans(block)
+    assert len(spans.copies) == 0 and len(spans.wide(spans.classes)[3]) == 0
