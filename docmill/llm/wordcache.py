@@ -23,7 +23,8 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        # hashes of the pieces that can be looked up, in order, and their numbers
+        self.known, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.count = 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
@@ -35,12 +36,13 @@ class WordCache:
         if self.count > self.most:
             self.clear()
         keys, first, inverse = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        numbers = np.array([self.known.get(k, -1) for k in keys.tolist()], np.int64)
-        new = np.flatnonzero(numbers < 0)
+        place = np.searchsorted(self.known, keys)
+        new = np.flatnonzero(np.append(self.known, ~keys[-1:])[place] != keys) if len(keys) else place
         if len(new):
-            numbers[new] = self._add(data, starts[first[new]], ends[first[new]])
-            self.known.update(zip(keys[new].tolist(), numbers[new].tolist()))
-        number = numbers[inverse]
+            self.numbers = np.insert(self.numbers, place[new], self._add(data, starts[first[new]], ends[first[new]]))
+            self.known = np.insert(self.known, place[new], keys[new])
+            place = np.searchsorted(self.known, keys)
+        number = self.numbers[place[inverse]]
         other = np.flatnonzero(~self._same(number, data, starts, ends))
         if len(other):  # pieces whose hash another piece has: each is tokenized by itself
             number[other] = self._add(data, starts[other], ends[other])
