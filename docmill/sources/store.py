@@ -33,6 +33,8 @@ from docmill.operators.documents import present
 
 #: Bytes from which on a checkpoint truncates the log.
 LOG_BYTES = 10 << 20
+#: The folder of the empty field name, by Spark's rule.
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
 #: A writer that is older has died.
 LOCK_SECONDS = 3600
 
@@ -75,7 +77,13 @@ class DocumentStore:
         return self._read("postings", "segment", "term_key string, term string, chunk_id long, field string", self._folders("data", "segment"))
 
     def fields(self) -> list[str]:
-        return [r[0] for r in self.postings().select("field").distinct().orderBy("field").collect()]
+        """Names of indexed fields, by the folders of the segments; no file is read."""
+        found, unescape = set(), self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        for segment in self._folders("data", "segment"):
+            fs, path = self._path(f"postings/segment={segment}")
+            names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+            found |= {unescape(n.partition("=")[2]) for n in names if n.startswith("field=")}
+        return sorted("" if f == NO_NAME else f for f in found)
 
     def last_id(self) -> int:
         return max(index.last_number(self.log(), "doc_id"), index.last_number(self.data(), "doc_id"))
@@ -158,7 +166,8 @@ class DocumentStore:
 
     def search(self, field: str, term: str) -> DataFrame:
         with timed(instruments.SEARCH_INDEX):
-            found = search.indexed(self.data(), self.postings(), self.tail(), field, term)
+            # the empty name has no folder that could be looked up
+            found = search.scan(self.data().select("doc_id", "fields").unionByName(self.tail()), field, term) if field == "" else search.indexed(self.data(), self.postings(), self.tail(), field, term)
         return counted(found, instruments.GREP_FILTER)
 
     def hits(self, field: str, term: str) -> int:

@@ -195,3 +195,10 @@ def test_clean_leaves_nothing(spark):
     assert fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
     clean(spark)
     assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def test_fields_are_the_folders_with_any_names(spark, tmp_path):
+    store = DocumentStore(spark, f"file://{tmp_path}/db")
+    store.add(maps(spark, *({"id": str(i), "a=b/c:d %": "x", "": "y"} for i in range(128))))
+    assert store.fields() == [] and store.commit() == 1 and store.search("a=b/c:d %", "X").count() == 128
+    assert store.fields() == ["", "a=b/c:d %", "id"] and store.search("", "Y").count() == 128
