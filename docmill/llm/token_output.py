@@ -137,7 +137,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 1, id_c
     """Writes the documents' ids to ``path``; ``vocabulary`` is a file on the driver, whose content goes to the tasks."""
     content = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that repeat an id are parted by how their texts begin, which keeps the order
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(_write(content, end), SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 

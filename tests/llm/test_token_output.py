@@ -58,3 +58,22 @@ def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (None, "c")], "doc_id long, text string")
     assert sorted((r["start"], r["n_tokens"]) for r in token_table(df, VOCABULARY).collect()) == [(0, 2), (2, 2), (4, 2), (6, 2)]
     assert token_table(df.where("false"), VOCABULARY).collect() == []
+
+
+def test_an_id_of_many_texts_is_spread_in_order(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(7, f"{r.randint(0, 10**6)} words") for _ in range(900)] + [(i, "x") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    write_tokens(df, f"file://{tmp_path}/t", VOCABULARY)
+    assert sorted(map(tuple, read_tokens(spark, f"file://{tmp_path}/t").collect())) == sorted(expected(rows))
+    shards = spark.read.parquet(f"file://{tmp_path}/t").where("array_contains(doc_ids, 7)").select("shard").distinct().count()
+    assert shards > 1
+
+
+def test_other_vocabularies_get_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    t, texts = Tokenizer.from_file(file), ["Hello  World, it's", "", "a\nb <|endoftext|> C", "naïve 漢字 " * 50]
+    got = sorted(token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), file, end=50256).collect())
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 50256], "<u4").tobytes()) for x in texts]
