@@ -18,7 +18,7 @@ def shared_root(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/docmill-checkpoints"
     path = f"{root.rstrip('/')}/docmill/{name}-{uuid.uuid4().hex}"
