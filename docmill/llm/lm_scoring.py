@@ -44,7 +44,7 @@ END, START, WORD = BINS, BINS + 1, BINS + 2
 CLASSES = BINS + 1
 SMOOTH = 0.1
 DIM, BATCH, RATE, CLASS_NOISE, UNIT_NOISE = 16, 1024, 0.15, 64, 2
-ROUNDS, LEARNER_TOKENS, LEARNERS = 4, 4_000_000, 1024
+ROUNDS, LEARNER_TOKENS, LEARNERS = 4, 2_000_000, 1024
 LEAST_TOKENS, PASSES = 1_000_000, 16
 SLICES = 64
 END_KEY = np.uint64(0x454E44)
