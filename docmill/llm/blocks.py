@@ -60,10 +60,15 @@ class Blocks:
         )
         total = spark.table(self.table).agg(F.sum("size")).first()[0] or 0
         self.buckets = max(tables, -(-total // BUCKET_BYTES))
+        self.tasks = max(4 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table).select("block", "payload")
 
+    def few(self, rows: DataFrame) -> DataFrame:
+        """Rows to be written, in no more tasks than the corpus' bytes and the cores ask for: small corpora don't become many small files."""
+        return rows.coalesce(self.tasks)
+
     def send(self, blobs) -> DataFrame:
         """One pass: ``blobs(block, payload)`` yields (kind, bucket, payload) rows."""
 

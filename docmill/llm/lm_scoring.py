@@ -356,7 +356,7 @@ def trained(blocks: Blocks, words: Words, learns, tokens: int) -> bytes:
     learners = min(LEARNERS, max(1, tokens // LEARNER_TOKENS))
     passes = max(1, min(PASSES, LEAST_TOKENS // max(tokens, 1)))
     shared = spark.sparkContext.broadcast(words)
-    rows = stored(_units(blocks, shared, learns, learners), f"{blocks.root}/units")
+    rows = stored(blocks.few(_units(blocks, shared, learns, learners)), f"{blocks.root}/units")
     raw = Model(words).flat.tobytes()
     for k in range(ROUNDS if tokens else 0):
         model = spark.sparkContext.broadcast(raw)
@@ -381,7 +381,7 @@ def lm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "
         x = Tokens(payload, learns)
         yield from split(WORDS, buckets, x.keys, x.counts, x.bins)
 
-    answers = stored(answered(blocks.send(counted), _merge, buckets), f"{blocks.root}/counts")
+    answers = stored(blocks.few(answered(blocks.send(counted), _merge, buckets)), f"{blocks.root}/counts")
     summaries, answers = answers.where(F.col("block") == SUMMARY), answers.where(F.col("block") != SUMMARY)
     per_bin = {r["bin"]: (r["n"], r["words"]) for r in summaries.mapInArrow(_sums, "bin int, n long, words long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()}
     n_all, v_all = (sum(v[i] for v in per_bin.values()) for i in (0, 1))
@@ -412,4 +412,4 @@ def lm_scores(docs: DataFrame, learns, id_col: str = "doc_id", text_col: str = "
                     names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return blocks.with_answers(answers).mapInArrow(tidy(score), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.few(blocks.with_answers(answers).mapInArrow(tidy(score), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from docmill.llm.blocks import Blocks, answer_of, answered, decode, encode_answer, split, unpack
 from docmill.llm.labelled import others
-from docmill.llm.storage import tidy
+from docmill.llm.storage import stored, tidy
 from docmill.llm.textkernel import mix, utf8
 
 LENGTH = 100
@@ -231,9 +231,8 @@ def _spans(docs: DataFrame, finish, schema, id_col: str, text_col: str, length:
         yield from split(SPAN, buckets, x.whole[x.classes], x.second[x.classes], x.doc(x.first[x.classes]))
         yield from split(ANCHOR, buckets, x.grams, x.varied.astype("u1"))
 
-    first = answered(blocks.send(digits), _merge, buckets)
-    first.write.parquet(f"{blocks.root}/first")
-    first = blocks.spark.read.parquet(f"{blocks.root}/first")
+    first = blocks.few(answered(blocks.send(digits), _merge, buckets))
+    first = stored(first, f"{blocks.root}/first")
 
     def windows(batches):
         for batch in batches:
@@ -247,9 +246,8 @@ def _spans(docs: DataFrame, finish, schema, id_col: str, text_col: str, length:
                     names=["kind", "bucket", "block", "payload"],
                 )
 
-    second = answered(blocks.with_answers(first).mapInArrow(tidy(windows), "kind int, bucket int, block long, payload binary"), _merge, buckets)
-    second.write.parquet(f"{blocks.root}/second")
-    second = blocks.spark.read.parquet(f"{blocks.root}/second")
+    second = blocks.few(answered(blocks.with_answers(first).mapInArrow(tidy(windows), "kind int, bucket int, block long, payload binary"), _merge, buckets))
+    second = stored(second, f"{blocks.root}/second")
 
     def last(batches):
         for batch in batches:
@@ -261,7 +259,7 @@ def _spans(docs: DataFrame, finish, schema, id_col: str, text_col: str, length:
                 np.subtract.at(cover, hits + length, 1)
                 yield finish(x, np.cumsum(cover[:-1]) > 0)
 
-    return blocks.with_answers(first, second).mapInArrow(tidy(last), schema)
+    return blocks.few(blocks.with_answers(first, second).mapInArrow(tidy(last), schema))
 
 
 def _ids(x: Spans) -> pa.Array:
