@@ -233,43 +233,45 @@ class Model:
     def log10(self, one: np.ndarray, two: np.ndarray, units: np.ndarray) -> np.ndarray:
         """log10 of p(class, unit | context) of tokens, normalised over all classes and over all units of the class."""
         first, second, cv, cb, uv, ub = self.parts[:6]
-        n = len(self.words.classes)
-        contexts_, at = np.unique(one * n + two, return_inverse=True)
-        hidden = first[contexts_ // n] + second[contexts_ % n]
-        logits = hidden @ cv.T + cb
-        c = self.words.classes[units]
-        out = logits[at, c] - _log_sum(logits)[at]
-        # distinct contexts of each class
-        pairs, place = np.unique(c * np.int64(len(contexts_)) + at, return_inverse=True)
-        total = np.empty(len(pairs), np.float32)
-        which, context = pairs // max(len(contexts_), 1), pairs % max(len(contexts_), 1)
-        edges = np.searchsorted(which, np.arange(CLASSES + 1))
+        n, c = len(self.words.classes), self.words.classes[units]
+        # distinct classes in contexts, in the order of contexts
+        pairs, place = np.unique(((one * n + two) << 7) | c, return_inverse=True)
+        context = pairs >> 7
+        edge = np.append(True, context[1:] != context[:-1])[: len(pairs)]
+        at, context = np.cumsum(edge) - 1, context[edge]
+        hidden, classes = first[context // n] + second[context % n], (pairs & 127).astype(np.uint8)
+        of_pair = np.einsum("nd,nd->n", hidden[at], cv[classes]) + cb[classes] - _log_sums(hidden, cv, cb)[at]
+        order = np.argsort(classes, kind="stable")
+        edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = self.words.bounds[k], self.words.bounds[k + 1]
-            for i in range(edges[k], edges[k + 1], 8192):
-                j = min(i + 8192, edges[k + 1])
-                total[i:j] = _log_sum(hidden[context[i:j]] @ uv[a:b].T + ub[a:b])
+            rows, own = order[edges[k] : edges[k + 1]], slice(self.words.bounds[k], self.words.bounds[k + 1])
+            of_pair[rows] -= _log_sums(hidden[at[rows]], uv[own], ub[own])
         p = self.words.place[units]
         own = np.empty(len(units), np.float32)
-        for i in range(0, len(units), 65536):
-            rows = slice(i, i + 65536)
-            own[rows] = np.einsum("nd,nd->n", hidden[at[rows]], uv[p[rows]])
-        return ((out + own + ub[p] - total[place]) / math.log(10)).astype(float)
+        for i in range(0, len(units), 16384):
+            rows = slice(i, i + 16384)
+            own[rows] = np.einsum("nd,nd->n", hidden[at[place[rows]]], uv[p[rows]])
+        return ((own + ub[p] + of_pair[place]) / math.log(10)).astype(float)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """The logarithm of each row's sum of exponentials."""
-    top = logits.max(initial=0.0)
-    total = np.exp(logits - top) @ np.ones(logits.shape[1], logits.dtype)
-    out = np.log(np.maximum(total, np.float32(1e-38))) + top
-    low = np.flatnonzero(total < 1e-30)  # rows far below the largest
-    if len(low):
-        own = logits[low].max(1)
-        out[low] = np.log(np.exp(logits[low] - own[:, None]).sum(1)) + own
+def _log_sums(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of exponentials of each row's products with all vectors; so many rows at once as caches hold."""
+    out, rows, ones = np.empty(len(hidden), np.float32), max(1, (1 << 17) // len(vectors)), np.ones(len(vectors), np.float32)
+    for i in range(0, len(hidden), rows):
+        logits = hidden[i : i + rows] @ vectors.T
+        logits += bias
+        top = logits.max(initial=0.0)
+        logits -= top
+        total = np.exp(logits) @ ones
+        out[i : i + rows] = np.log(np.maximum(total, np.float32(1e-38))) + top
+        low = np.flatnonzero(total < 1e-30)  # rows far below the largest
+        if len(low):
+            own = logits[low].max(1)
+            out[i + low] = np.log(np.exp(logits[low] - own[:, None]).sum(1)) + own + top
     return out
 
 
