@@ -24,6 +24,8 @@ from docmill.llm.textkernel import row_chunks, utf8
 BLOCK_BYTES = 1 << 20
 #: Bytes of text for each hash bucket, so that what a bucket's task holds does not grow with the corpus.
 BUCKET_BYTES = 64 << 20
+#: Bytes of text for each file of an intermediate table, at least.
+TASK_BYTES = 8 << 20
 BLOCK_SCHEMA = "block long, size long, payload binary"
 SUMMARY = -1
 BLOB_SCHEMA = "kind int, bucket int, block long, payload binary"
@@ -60,7 +62,7 @@ class Blocks:
         )
         total = spark.table(self.table).agg(F.sum("size")).first()[0] or 0
         self.buckets = max(tables, -(-total // BUCKET_BYTES))
-        self.tasks = max(4 * spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
+        self.tasks = max(4 * spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table).select("block", "payload")
