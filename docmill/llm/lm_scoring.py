@@ -305,7 +305,7 @@ def _units(blocks: Blocks, words, learns, learners: int) -> DataFrame:
                 of_token = of_doc[x.row]
                 rows = [(k, units[of_token == k]) for k in range(ROUNDS)]
                 rows = [(k, u) for k, u in rows if len(u)]
-                learner = hash((block >> 32, block & 0xFFFFFFFF)) % learners
+                learner = ((block >> 32) * 2654435761 + (block & 0xFFFFFFFF)) % learners
                 pack = zstandard.ZstdCompressor(level=1).compress
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in rows], pa.int32()), pa.array([learner] * len(rows), pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([pack(u.tobytes()) for _, u in rows], pa.binary())],

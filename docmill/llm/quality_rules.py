@@ -22,7 +22,7 @@ BUCKETS = 4096
 THRESHOLD = -0.08
 BROADCAST_ROWS = 200_000
 # Fixed values of the rules: what parts words, what counts as a symbol, the window's words.
-SEPARATORS, SEPARATOR = " \t\n\x0b\f\r", "\\x20\\x09-\\x0D"
+SEPARATOR = "\\x20\\x09-\\x0D"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -32,10 +32,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SEPARATOR}]+"), "")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def _hashes(words: Column) -> Column:
     """One hash for each word; all that is hashed after it are these numbers."""
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -103,13 +99,14 @@ def rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     # a constant string that the optimizer turns into one array literal
     ratios = F.split(F.lit(",".join(map(repr, log_ratios(docs, trusted, id_col, text_col)))), ",").cast("array<double>")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.select("doc_id", "t", _hashes(words_of(F.col("t"))).alias("h"), F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SEPARATOR}]")).alias("lines"))
-    rows = rows.select("doc_id", "t", "h", _pairs(F.col("h")).alias("p"), "lines")
+    rows = rows.select("doc_id", "t", words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SEPARATOR}]")).alias("lines"))
+    rows = rows.select("doc_id", "t", _hashes(F.col("w")).alias("h"), F.length(F.array_join("w", "")).alias("chars"), "lines")
+    rows = rows.select("doc_id", "t", "h", _pairs(F.col("h")).alias("p"), "chars", "lines")
     total = lambda hashes, first: F.aggregate(hashes, F.lit(0.0), lambda a, h: a + ratios[_slot(h) + first])
     rows = rows.select(
         "doc_id",
         F.size("h").cast("long").alias("n_words"),
-        F.length(_without(F.col("t"), SEPARATORS)).cast("long").alias("word_chars"),
+        F.col("chars").cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _windows(F.col("h"), F.col("p")).alias("windows"),

@@ -29,7 +29,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm.blocks import Blocks, answer_of, answered, decode, encode_answer, split, unpack
