@@ -146,15 +146,15 @@ _NUMBERED = f"WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS id FRO
 _SQL = {
     store_search: "SELECT doc_id AS id FROM documents WHERE upper(source) = 'SRC3'",
     store_reopen: "SELECT doc_id AS id FROM documents WHERE upper(lang) = 'EN'",
-    store_recover: "SELECT count(*) FILTER (upper(source) = 'SRC7') AS hits, count(*) FILTER (upper(source) = 'SRC7') AS docs, count(*) AS last_id, CASE WHEN count(*) >= 128 THEN 2 ELSE 1 END AS next_segment FROM documents",
-    store_segments: _NUMBERED + "SELECT CASE WHEN chunk < one THEN 1 WHEN one > 0 THEN 2 ELSE 1 END AS segment, min(chunk) AS first_chunk, max(chunk) AS last_chunk, count(*) AS n_docs, min(id) AS first_id, max(id) AS last_id FROM c, e WHERE chunk < two GROUP BY 1",
+    store_recover: "SELECT count(*) FILTER (upper(source) = 'SRC7') AS hits, count(*) FILTER (upper(source) = 'SRC7') AS docs, count(*) AS last_id, CAST(CASE WHEN count(*) >= 128 THEN 2 ELSE 1 END AS BIGINT) AS next_segment FROM documents",
+    store_segments: _NUMBERED + "SELECT CAST(CASE WHEN chunk < one THEN 1 WHEN one > 0 THEN 2 ELSE 1 END AS BIGINT) AS segment, min(chunk) AS first_chunk, max(chunk) AS last_chunk, count(*) AS n_docs, min(id) AS first_id, max(id) AS last_id FROM c, e WHERE chunk < two GROUP BY 1",
     store_candidates: _NUMBERED + "SELECT DISTINCT chunk AS chunk_id FROM c, e WHERE chunk < two AND upper(lang) = 'DE'",
     store_fields: "SELECT unnest(['id', 'lang', 'source']) AS field",
     store_chunk: _NUMBERED + "SELECT doc_id AS id FROM c, e WHERE chunk = 3 AND chunk < two",
     store_tail: _NUMBERED + "SELECT doc_id AS id FROM c, e WHERE chunk >= two AND length(source) > 4",
     store_replay: f"SELECT id AS doc_id, doc_id AS id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS id FROM documents) WHERE id > {AFTER}",
     store_truncate: _NUMBERED + ", k AS (SELECT batch, count(*) AS n_docs, max(id) <= any_value(three) * 128 AND max(id) < (SELECT max(id) FROM b) AS gone FROM b, e GROUP BY batch) SELECT 'part-' || batch AS batch, n_docs, (SELECT count(*) FROM k WHERE gone) AS n_dropped FROM k WHERE NOT gone",
-    store_operations: "SELECT * FROM (VALUES ('add_term_to_in_memory_ix', 2), ('commit_index_file', 2), ('datafile_commit', 2), ('grep_filter', 1), ('search_index_file', 1), ('wal_commit', 3), ('wal_truncate', 1)) v(operation, calls)",
+    store_operations: _NUMBERED + ", k AS (SELECT CAST(one > 0 AS BIGINT) + CAST(two > one AS BIGINT) AS k FROM e) SELECT operation, CAST(calls AS BIGINT) AS calls FROM (SELECT unnest(['add_term_to_in_memory_ix', 'commit_index_file', 'datafile_commit', 'grep_filter', 'search_index_file', 'wal_commit', 'wal_truncate']) AS operation, unnest([2, k, k, 1, 1, 3, 1]) AS calls FROM k) WHERE calls > 0",
     store_timed_rows: "SELECT 'grep_filter' AS operation, count(*) AS n FROM documents WHERE upper(source) = 'SRC1'",
     doc_json: """SELECT doc_id, '{"Fields":{' || concat_ws(',', '"lang":' || to_json(lang), '"source":' || to_json(source)) || '}}' AS json FROM documents""",
 }
